@@ -55,9 +55,11 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "refers_to", F.concat(header, F.when(F.col("refers_to").isNull(), F.col("html")).otherwise("")).alias("record"))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 4096) -> None:
-    """Archives under ``path``; the last two CRLF are those of the last record."""
-    records(pages).select("record").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)
+def write(pages: DataFrame, path: str, records_per_file: int = 4096, compression: str = "gzip") -> None:
+    """Archives under ``path``; the last two CRLF are those of the last record. Compressed
+    ones are read in one task each, so ``records_per_file`` bounds their size; with ``none``
+    tasks read byte ranges."""
+    records(pages).select("record").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).mode("overwrite").text(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
