@@ -39,40 +39,53 @@ def connected(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         ).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+Side = Callable[[str], Column]
+
+
 def link_through_buckets(
     postings: DataFrame,
-    near: Callable[[Column, Column], Column],
+    items: list[str],
+    near: Callable[[Side, Side], Column],
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     given: DataFrame | None = None,
+    spent: str = "",
 ) -> DataFrame:
     """(id, root) of the groups that the links between members of a bucket make.
 
-    ``postings``: (key, id, item), an id in many buckets. ``near(item, item)`` is a cheap
-    necessary condition, ``verify`` keeps the true links of a table (a, b). ``given``: links
-    (a, b) that need no bucket.
+    ``postings``: (key, id, *items), an id in many buckets. ``near`` is a cheap necessary
+    condition on two rows' items, ``verify`` keeps the true links of a table (a, b).
+    ``given``: links (a, b) that need no bucket. ``spent``: a table of ``scratch`` to drop once
+    the postings are stored.
 
-    First each bucket's members are held against one pivot, the least item, which
-    joins large groups of like members in one linear pass. Then only pairs whose
-    groups still differ meet, with ``near`` inside the join: no pair within a group
-    is made, and every link that could join two groups is tried.
+    Each bucket's pivot is its least row by items and id. First an id is held against one
+    pivot, that of most of its buckets, which joins large groups of like members in one
+    linear pass. Then only pairs whose groups still differ meet, with ``near`` inside the
+    join: no pair within a group is made, and every link that could join two is tried.
     """
-    postings = scratch.table(
-        postings.join(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "postings"
-    )
-    pivots = postings.groupBy("key").agg(F.min(F.struct("item", "id")).alias("p")).select(
-        "key", F.col("p.id").alias("a"), F.col("p.item").alias("left")
-    )
-    first = postings.join(pivots, "key").where((F.col("a") != F.col("id")) & near(F.col("left"), F.col("item")))
-    links = scratch.table(verify(first.select("a", F.col("id").alias("b")).distinct()), "links-pivot")
+    dealt = postings.repartition("key")  # shuffled once, for the count and the join
+    pivots = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(*items, "id")).alias("pivot")).where("members > 1")
+    shared = scratch.table(dealt.join(pivots.select("key", "pivot"), "key"), "postings")
+    if spent:
+        scratch.drop(spent)
+    scratch.tidy()
+    own: Side = F.col
+    fits = (F.col("pivot.id") != F.col("id")) & near(lambda c: F.col(f"pivot.{c}"), own)
+    votes = shared.where(fits).groupBy("id", F.col("pivot.id").alias("a")).agg(F.count("*").alias("n"))
+    first = votes.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("n", "a")).alias("most")).select("most.a", "b")
+    links = scratch.table(verify(first), "links-pivot")
     links = links if given is None else scratch.table(links.unionByName(given), "links-given")
     groups = scratch.table(connected(links, scratch, "groups-pivot"), "groups")
-    placed = postings.join(groups, "id", "left").select("key", "id", "item", F.coalesce("root", "id").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = scratch.table(placed.join(split, "key"), "placed")
-    one, two = (placed.select("key", F.col("id").alias(i), F.col("item").alias(x), F.col("root").alias(r)) for i, x, r in (("a", "xa", "ra"), ("b", "xb", "rb")))
-    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("ra") < F.col("rb")) & near(F.col("xa"), F.col("xb")))
-    rest = scratch.table(verify(pairs.select("a", "b").distinct()), "links-rest")
+    placed = shared.drop("pivot").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = scratch.table(placed, "placed")
     scratch.drop("postings")
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    placed = scratch.table(placed.join(split, "key", "left_semi"), "split")
     scratch.drop("placed")
+    scratch.tidy()
+    one, two = (placed.select(F.struct("*").alias(x)) for x in ("x", "y"))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    pairs = one.join(two, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = scratch.table(verify(pairs), "links-rest")
+    scratch.drop("split")
     return scratch.table(connected(links.unionByName(rest), scratch, "groups-all"), "groups-final")

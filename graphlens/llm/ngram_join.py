@@ -103,14 +103,15 @@ def prefix(found: np.ndarray, level: np.ndarray, order: int, length: int) -> np.
 
 def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
     """(doc_id, n, set, rare, p1, p2, p3): size and fingerprint of each set, how many of its
-    shingles are not common, and its prefixes under the orders (the latter two as 32 bits)."""
+    shingles are not common, and its prefixes under the orders (the latter two as 16-bit hashes,
+    which can only add candidates)."""
     shared = documents.sparkSession.sparkContext.broadcast(level)
 
     def make():
         import xxhash
 
         known, level = Words(), shared.value
-        short = lambda x: (x >> np.uint64(8)).astype(np.uint32).view(np.int32)
+        short = lambda x: np.unique(x >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
 
         def step(columns: list) -> list:
             out: list[list] = [[] for _ in range(7)]
@@ -128,16 +129,16 @@ def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int)
 
     return arrow_map(
         documents.select("doc_id", F.col("text").cast("binary")), make,
-        "doc_id long, n long, set binary, rare long, p1 array<long>, p2 array<int>, p3 array<int>",
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("rare", pa.int64()), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int32())), ("p3", pa.list_(pa.int32()))],
+        "doc_id long, n long, set binary, rare long, p1 array<long>, p2 array<short>, p3 array<short>",
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("rare", pa.int64()), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int16())), ("p3", pa.list_(pa.int16()))],
     )
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, s): the sets of the documents in ``ids`` (id), as sorted 64-bit hashes.
+    """(id, s): the sets of the documents in ``ids`` (id) and a few others, as sorted hashes.
 
-    A bitmap of the ids goes to the scan, so that other texts are neither shingled nor
-    shuffled; it has a fixed size, and the semi-join after it is exact.
+    A bitmap of the ids goes to the scan, so that most other texts are not shingled; it has
+    a fixed size, and what passes it by chance finds no partner in the joins that follow.
     """
     mask = id_bitmap(ids)
     shared = documents.sparkSession.sparkContext.broadcast(mask)
@@ -151,7 +152,7 @@ def sets_of(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size, known).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=out)
 
-    return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "id long, s binary").join(ids, "id", "left_semi")
+    return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "id long, s binary")
 
 
 def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: int, percent: int, store: Scratch) -> DataFrame:
@@ -161,8 +162,6 @@ def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: in
     pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3"))
     tag = f"{uuid.uuid4().hex}"
     pairs = store.table(pairs.select("a", "b").distinct(), f"pairs-{tag}")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = store.table(sets_of(documents, ids, size), f"sets-{tag}")
 
     def compare():
         def step(columns: list) -> list:
@@ -177,7 +176,10 @@ def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: in
 
         return step
 
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    store.tidy()
+    # sets go from the scan into the joins and are not stored; those of the pivots are fewer
+    near, pivot = (sets_of(documents, pairs.select(F.col(c).alias("id")).distinct(), size) for c in ("b", "a"))
+    joined = pairs.join(near.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(pivot.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     return arrow_map(joined.select("a", "b", "x", "y"), compare, "a long, b long", [("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -190,17 +192,29 @@ def groups(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """
     store = Scratch(documents.sparkSession, "ngram-join")
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = store.table(signatures(documents, levels(sketch(documents, size)), size, percent), "signatures")
-    full = rows.where("n > 0 and doc_id is not null")
+    signed = store.table(signatures(documents, levels(sketch(documents, size)), size, percent), "signatures")
     # a class is a set; the least id of its documents stands for it
-    classes = store.table(full.groupBy("set").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")), "classes")
-    heads = full.join(classes.select(F.col("set").alias("set2"), "id"), (F.col("set") == F.col("set2")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id", "set"])
-    heads = store.table(heads.select("id", "n", "rare", "p1", "p2", "p3"), "heads")
-    postings = heads.select(F.explode("p1").alias("key"), "id", F.struct("rare", "n").alias("item"))
-    near = lambda x, y: (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
+    whole = F.struct("doc_id", "n", "rare", "p1", "p2", "p3")
+    heads = store.table(
+        signed.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min_by(whole, "doc_id").alias("h")).select("set", F.col("h.doc_id").alias("id"), "h.n", "h.rare", "h.p1", "h.p2", "h.p3"),
+        "heads",
+    )
+    rows = store.table(signed.select("doc_id", "n", "set"), "rows")
+    store.drop("signatures")
+    store.tidy()
+    classes = store.table(heads.select("set", "id"), "classes")
+    full = rows.where("n > 0 and doc_id is not null")
+    # size and how common the shingles are, in one number that orders pivots by the latter
+    marks = store.table(heads.select("id", "p2", "p3"), "marks")
+    postings = heads.select(F.explode("p1").alias("key"), "id", F.shiftleft("rare", 32).bitwiseOR(F.col("n")).alias("item"))
+
+    def near(x, y):
+        n, m = (side("item").bitwiseAND(F.lit(2**32 - 1)) for side in (x, y))
+        return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+
     several = full.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("doc_id")
     same = full.select("doc_id", "set").join(several, "doc_id", "left_semi").join(classes.select("set", "id"), "set").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = link_through_buckets(postings, near, lambda pairs: verified(pairs, heads, documents, size, percent, store), store, same)
+    found = link_through_buckets(postings, ["item"], near, lambda pairs: verified(pairs, marks, documents, size, percent, store), store, same, "heads")
     roots = classes.join(found, "id", "left").select("set", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(roots, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
