@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,6 +64,12 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._remove(self.path(name))
 
+    def tidy(self) -> None:
+        """Have shuffle files of ended jobs removed: Spark does so once the driver has no
+        reference to them, which may otherwise be much later."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
@@ -115,8 +122,9 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
     words = np.zeros(BITMAP // 64, dtype=np.int64)
     for at, bits in ids.mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).collect():
         words[at] = bits
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    return words.view(np.uint8)
 
 
 def in_bitmap(mask: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return mask[_bit(ids)]
+    bit = _bit(ids)
+    return (mask[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
