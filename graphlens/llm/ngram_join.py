@@ -134,25 +134,28 @@ def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int)
     )
 
 
-def sets_of(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, s): the sets of the documents in ``ids`` (id) and a few others, as sorted hashes.
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, t): the words of the documents in ``ids`` (id) and a few others, compressed: hashes
+    of shingles would take three times as much in the shuffles.
 
-    A bitmap of the ids goes to the scan, so that most other texts are not shingled; it has
+    A bitmap of the ids goes to the scan, so that most other texts stop there; it has
     a fixed size, and what passes it by chance finds no partner in the joins that follow.
     """
     mask = id_bitmap(ids)
     shared = documents.sparkSession.sparkContext.broadcast(mask)
-    out = pa.schema([("id", pa.int64()), ("s", pa.binary())])
+    out = pa.schema([("id", pa.int64()), ("t", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, mask = Words(), shared.value
+        import zstandard
+
+        pack, mask = zstandard.ZstdCompressor(level=1), shared.value
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(in_bitmap(mask, batch.column(0).to_numpy())))
-            sets = [shingles(t, size, known).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=out)
+            packed = [pack.compress(b" ".join((t.as_py() or b"").lower().split())) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], schema=out)
 
-    return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "id long, s binary")
+    return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "id long, t binary")
 
 
 def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: int, percent: int, store: Scratch) -> DataFrame:
@@ -164,10 +167,17 @@ def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: in
     pairs = store.table(pairs.select("a", "b").distinct(), f"pairs-{tag}")
 
     def compare():
+        import zstandard
+
+        known, unpack, last = Words(), zstandard.ZstdDecompressor(), [None, None]
+        found = lambda t: shingles(unpack.decompress(t), size, known)
+
         def step(columns: list) -> list:
             out: list[list] = [[], []]
             for a, b, x, y in zip(*columns, strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                if x != last[0]:  # a pivot's pairs come one after another
+                    last[:] = x, found(x)
+                x, y = last[1], found(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     out[0].append(a)
@@ -177,9 +187,9 @@ def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: in
         return step
 
     store.tidy()
-    # sets go from the scan into the joins and are not stored; those of the pivots are fewer
-    near, pivot = (sets_of(documents, pairs.select(F.col(c).alias("id")).distinct(), size) for c in ("b", "a"))
-    joined = pairs.join(near.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(pivot.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+    # texts go from the scan into the joins and are not stored; those of the pivots are fewer
+    near, pivot = (texts_of(documents, pairs.select(F.col(c).alias("id")).distinct()) for c in ("b", "a"))
+    joined = pairs.join(near.select(F.col("id").alias("b"), F.col("t").alias("y")), "b").join(pivot.select(F.col("id").alias("a"), F.col("t").alias("x")), "a")
     return arrow_map(joined.select("a", "b", "x", "y"), compare, "a long, b long", [("a", pa.int64()), ("b", pa.int64())])
 
 
