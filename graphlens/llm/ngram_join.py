@@ -4,7 +4,9 @@ Documents with equal sets form a class; classes are joined. A prefix of a set, l
 that two linked sets must share a token of it, is taken under each of three global orders.
 All orders put common tokens last, by a sketch of the document frequencies of all shingles,
 and break ties by different hashes. Pairs must share a prefix token under every order
-before their whole sets are compared.
+before their whole sets are compared. Counts of each set's shingles in ``PARTS`` parts bound
+what two sets can share: the sum of their differences is at most the number of shingles that
+only one of the two has, so pairs beyond the limit go without a look at their texts.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a set holds 64-bit hashes of the
 distinct shingles (of all words, if fewer than a shingle has). Null, empty and wordless texts
@@ -27,6 +29,8 @@ from graphlens.llm.components import link_through_buckets
 
 #: Counters of the sketch: a fixed size, so that it can be broadcast.
 SKETCH = 1 << 18
+#: Parts of a set whose sizes are kept.
+PARTS = 64
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -102,8 +106,8 @@ def prefix(found: np.ndarray, level: np.ndarray, order: int, length: int) -> np.
 
 
 def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, set, rare, p1, p2, p3): size and fingerprint of each set, how many of its
-    shingles are not common, and its prefixes under the orders (the latter two as 16-bit hashes,
+    """(doc_id, n, set, rare, mass, p1, p2, p3): size and fingerprint of each set, how many of its
+    shingles are not common, the sizes of its parts, and its prefixes under the orders (the latter two as 16-bit hashes,
     which can only add candidates)."""
     shared = documents.sparkSession.sparkContext.broadcast(level)
 
@@ -114,13 +118,14 @@ def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int)
         short = lambda x: np.unique(x >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
 
         def step(columns: list) -> list:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for key, text in zip(*columns, strict=True):
                 found = shingles(text, size, known)
                 p = prefix_length(len(found), percent) if len(found) else 0
                 own = level[_slot(found)]
                 one, two, three = (prefix(found, own, k, p) for k in range(3))
-                values = (key, len(found), xxhash.xxh3_128_digest(found.tobytes()), int((own == 0).sum()), one.view(np.int64), short(two), short(three))
+                mass = np.minimum(np.bincount((found >> np.uint64(32) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16)
+                values = (key, len(found), xxhash.xxh3_128_digest(found.tobytes()), int((own == 0).sum()), mass, one.view(np.int64), short(two), short(three))
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             return out
@@ -129,8 +134,8 @@ def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int)
 
     return arrow_map(
         documents.select("doc_id", F.col("text").cast("binary")), make,
-        "doc_id long, n long, set binary, rare long, p1 array<long>, p2 array<short>, p3 array<short>",
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("rare", pa.int64()), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int16())), ("p3", pa.list_(pa.int16()))],
+        "doc_id long, n long, set binary, rare long, mass array<short>, p1 array<long>, p2 array<short>, p3 array<short>",
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("rare", pa.int64()), ("mass", pa.list_(pa.int16())), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int16())), ("p3", pa.list_(pa.int16()))],
     )
 
 
@@ -160,9 +165,11 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: int, percent: int, store: Scratch) -> DataFrame:
     """The pairs (a, b) that share prefix tokens under the other orders and whose whole sets
-    are similar enough. ``signed``: (id, p2, p3)."""
-    side = lambda i, x: signed.select(F.col("id").alias(i), F.col("p2").alias(f"{x}2"), F.col("p3").alias(f"{x}3"))
-    pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(F.arrays_overlap("x2", "y2") & F.arrays_overlap("x3", "y3"))
+    are similar enough. ``signed``: (id, n, mass, p2, p3)."""
+    side = lambda i, x: signed.select(F.col("id").alias(i), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "mass", "p2", "p3")))
+    apart = F.aggregate(F.zip_with("x_mass", "y_mass", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
+    alike = F.arrays_overlap("x_p2", "y_p2") & F.arrays_overlap("x_p3", "y_p3") & (apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent))
+    pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(alike)
     tag = f"{uuid.uuid4().hex}"
     pairs = store.table(pairs.select("a", "b").distinct(), f"pairs-{tag}")
 
@@ -204,9 +211,9 @@ def groups(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store.table(signatures(documents, levels(sketch(documents, size)), size, percent), "signatures")
     # a class is a set; the least id of its documents stands for it
-    whole = F.struct("doc_id", "n", "rare", "p1", "p2", "p3")
+    whole = F.struct("doc_id", "n", "rare", "mass", "p1", "p2", "p3")
     heads = store.table(
-        signed.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min_by(whole, "doc_id").alias("h")).select("set", F.col("h.doc_id").alias("id"), "h.n", "h.rare", "h.p1", "h.p2", "h.p3"),
+        signed.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min_by(whole, "doc_id").alias("h")).select("set", F.col("h.doc_id").alias("id"), "h.n", "h.rare", "h.mass", "h.p1", "h.p2", "h.p3"),
         "heads",
     )
     rows = store.table(signed.select("doc_id", "n", "set"), "rows")
@@ -215,7 +222,7 @@ def groups(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     classes = store.table(heads.select("set", "id"), "classes")
     full = rows.where("n > 0 and doc_id is not null")
     # size and how common the shingles are, in one number that orders pivots by the latter
-    marks = store.table(heads.select("id", "p2", "p3"), "marks")
+    marks = store.table(heads.select("id", "n", "mass", "p2", "p3"), "marks")
     postings = heads.select(F.explode("p1").alias("key"), "id", F.shiftleft("rare", 32).bitwiseOR(F.col("n")).alias("item"))
 
     def near(x, y):
