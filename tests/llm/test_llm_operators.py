@@ -505,3 +505,12 @@ def test_licenses(spark, documents, odd, empty):
     truth = {k: {v for n, v in names.items() if n in (t or "")} for k, t in texts(documents)}
     for r in licenses.scan(licenses.corpus_paths(documents)).collect():
         assert (r["own"] in truth[int(r["path"].rsplit("/", 1)[1])]) if r["own"] else not truth[int(r["path"].rsplit("/", 1)[1])]
+
+
+def test_column_marks_do_not_decide_the_simhash():
+    from graphlens.llm.line_dedup import HAMMING, Words, simhashes
+
+    rows = [[w for k in range(20) for w in (f"{tag}{k}", "|")] for tag in ("left", "right")]
+    one, two = simhashes([*rows], Words())
+    assert sum(int(x ^ y).bit_count() for x, y in zip(one, two, strict=True)) > HAMMING
+    assert (simhashes([["a", "b", "b"]], Words()) == simhashes([["b", "a"]], Words())).all()
