@@ -39,6 +39,16 @@ def connected(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         ).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def joined(groups: DataFrame, links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """The groups (id, root) after further links (a, b). Only the groups that these links name
+    are searched, each as one node."""
+    ends = (groups.select(F.col("id").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+    top = links.join(next(ends), "a", "left").join(next(ends), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    top = scratch.table(connected(top, scratch, f"{tag}-top"), f"{tag}-roots")
+    every = groups.union(top.select("id", "id")).distinct()
+    return scratch.table(every.join(top.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root")), tag)
+
+
 Side = Callable[[str], Column]
 
 
@@ -50,42 +60,62 @@ def link_through_buckets(
     scratch: Scratch,
     given: DataFrame | None = None,
     spent: str = "",
+    prepare: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """(id, root) of the groups that the links between members of a bucket make.
 
     ``postings``: (key, id, *items), an id in many buckets. ``near`` is a cheap necessary
     condition on two rows' items, ``verify`` keeps the true links of a table (a, b).
     ``given``: links (a, b) that need no bucket. ``spent``: a table of ``scratch`` to drop once
-    the postings are stored.
+    the postings are stored. ``prepare`` is told the ids (id, repeated) that may be verified.
 
-    Each bucket's pivot is its least row by items and id. First an id is held against one
-    pivot, that of most of its buckets, which joins large groups of like members in one
-    linear pass. Then only pairs whose groups still differ meet, with ``near`` inside the
-    join: no pair within a group is made, and every link that could join two is tried.
+    Each bucket's pivot is its least row by items and id; a bucket of two that are not near
+    has no pair and goes. First an id is held against one pivot, that of most of its
+    buckets, which joins large groups of like members in one linear pass. Then the
+    least group of each bucket is held against the others there, by two pairs for two groups:
+    large groups that no pivot joined become one. Then only pairs whose groups still differ meet,
+    with ``near`` inside the join: every link that could join two groups is tried.
     """
+    own: Side = F.col
+    at = lambda row: lambda c: F.col(f"{row}.{c}")
+    row = F.struct(*items, "id")
     dealt = postings.repartition("key")  # shuffled once, for the count and the join
-    pivots = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(*items, "id")).alias("pivot")).where("members > 1")
+    pivots = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min(row).alias("pivot"), F.max(row).alias("last"))
+    pivots = pivots.where("members > 1").where((F.col("members") > 2) | near(at("pivot"), at("last")))
     shared = scratch.table(dealt.join(pivots.select("key", "pivot"), "key"), "postings")
     if spent:
         scratch.drop(spent)
     scratch.tidy()
-    own: Side = F.col
-    fits = (F.col("pivot.id") != F.col("id")) & near(lambda c: F.col(f"pivot.{c}"), own)
+    if prepare:
+        prepare(shared.select("id"))
+        scratch.tidy()
+    fits = (F.col("pivot.id") != F.col("id")) & near(at("pivot"), own)
     votes = shared.where(fits).groupBy("id", F.col("pivot.id").alias("a")).agg(F.count("*").alias("n"))
     first = votes.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("n", "a")).alias("most")).select("most.a", "b")
-    links = scratch.table(verify(first), "links-pivot")
-    links = links if given is None else scratch.table(links.unionByName(given), "links-given")
+    links = verify(first)
+    links = scratch.table(links if given is None else links.unionByName(given), "links-pivot")
     groups = scratch.table(connected(links, scratch, "groups-pivot"), "groups")
-    placed = shared.drop("pivot").join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    placed = scratch.table(placed, "placed")
-    scratch.drop("postings")
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = scratch.table(placed.join(split, "key", "left_semi"), "split")
-    scratch.drop("placed")
-    scratch.tidy()
-    one, two = (placed.select(F.struct("*").alias(x)) for x in ("x", "y"))
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+
+    def split(rows: DataFrame, tag: str, spent: str) -> DataFrame:
+        """(key, id, *items, root): the buckets of several groups."""
+        placed = scratch.table(rows.select("key", "id", *items).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")), f"{tag}-all")
+        scratch.drop(spent)
+        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        placed = scratch.table(placed.join(several, "key", "left_semi"), tag)
+        scratch.drop(f"{tag}-all")
+        scratch.tidy()
+        return placed
+
+    rows = split(shared, "split-1", "postings")
+    lead = rows.groupBy("key").agg(F.min(F.struct("root", *items, "id")).alias("lead"))
+    fits = (F.col("lead.root") != F.col("root")) & near(at("lead"), own)
+    two = rows.join(lead, "key").where(fits).groupBy("lead.root", "root").agg(*(f(F.struct(F.col("lead.id").alias("a"), F.col("id").alias("b"))).alias(f.__name__) for f in (F.min, F.max)))
+    two = two.select(F.explode(F.array("min", "max")).alias("pair")).select("pair.*").distinct()
+    groups = joined(groups, scratch.table(verify(two), "links-lead"), scratch, "groups-lead")
+    rows = split(rows, "split-2", "split-1")
+    one, two = (rows.select(F.struct("*").alias(x)) for x in ("x", "y"))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near(at("x"), at("y"))
     pairs = one.join(two, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     rest = scratch.table(verify(pairs), "links-rest")
-    scratch.drop("split")
-    return scratch.table(connected(links.unionByName(rest), scratch, "groups-all"), "groups-final")
+    scratch.drop("split-2")
+    return joined(groups, rest, scratch, "groups-final")

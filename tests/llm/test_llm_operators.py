@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -514,3 +515,22 @@ def test_column_marks_do_not_decide_the_simhash():
     one, two = simhashes([*rows], Words())
     assert sum(int(x ^ y).bit_count() for x, y in zip(one, two, strict=True)) > HAMMING
     assert (simhashes([["a", "b", "b"]], Words()) == simhashes([["b", "a"]], Words())).all()
+
+
+def test_edit_distance_lies_between_its_bounds():
+    rng = random.Random(3)
+    for _ in range(500):
+        one = [f"{rng.choice('abcd')}{rng.randrange(20)}" for _ in range(rng.randrange(1, 40))]
+        two = one[3:] + one[:3] if rng.random() < 0.2 else list(one)
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(two) + 1)
+            two[k : k + rng.randrange(2)] = ["zz"] * rng.randrange(2)
+        a, b = " ".join(one), " ".join(two)
+        assert line_dedup.least_distance(a, b) <= line_dedup.edit_distance(a, b) <= line_dedup.most_distance(a, b)
+
+
+def test_simhash_is_the_majority_of_word_hashes():
+    lines = [[f"w{k}" for k in range(n)] for n in (5, 256, 600)] + [["é", "ß", "\ud800", "x", "y"]]
+    for words, mark in zip(lines, line_dedup.simhashes(lines, line_dedup.Words()), strict=True):
+        ones = sum(np.unpackbits(line_dedup.Words().hashes([w])[0]).astype(int) for w in words)
+        assert (np.packbits(2 * ones > len(words)) == mark).all()
