@@ -534,3 +534,23 @@ def test_simhash_is_the_majority_of_word_hashes():
     for words, mark in zip(lines, line_dedup.simhashes(lines, line_dedup.Words()), strict=True):
         ones = sum(np.unpackbits(line_dedup.Words().hashes([w])[0]).astype(int) for w in words)
         assert (np.packbits(2 * ones > len(words)) == mark).all()
+
+
+def test_every_line_is_deduplicated_whatever_its_words(spark):
+    """Short lines and lines of scripts without spaces: one occurrence of each stays."""
+    long = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(80))
+    near = long[:40] + "龥" + long[41:]
+    rows = [(1, f"}}\nshort\n\n{long}"), (2, f"SHORT\n \n{long}\nnew"), (3, f"one  two\n}}\n{near}"), (4, "ไม่มีช่องว่าง\nOne two\nไม่มีช่องว่าง")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string"), least_words=1).collect()}
+    assert found[1] == rows[0][1] and found[2] == " \nnew" and found[4] == "ไม่มีช่องว่าง"
+    assert found[3] in ("one  two", f"one  two\n{near}")  # SimHash may miss the changed character
+
+
+def test_query_deduplicates_short_lines(spark, documents, sf_dir):
+    from graphlens.llm import queries
+
+    count = lambda rows: Counter(" ".join(w) for t in rows for x in (t or "").split("\n") if (w := line_dedup.normalise(x)))
+    before = count(t for _, t in texts(documents))
+    after = count(r["text"] for r in queries.op7_line_dedup(spark, sf_dir).collect())
+    assert any(n > 1 and len(x.split()) < 5 for x, n in before.items())
+    assert max(after.values()) == 1 and set(after) <= set(before)
