@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,19 +41,21 @@ def bfs(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None, max_hops:
     return out.select("source", "node", "hops", *(["path"] if keep_path else []))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, store, rounds: int = 64) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, store, rounds: int | None = None) -> DataFrame:
     """(node, round): the closure of ``seeds`` (node) over ``edges`` (src, dst), with the round
-    in which each node came. Each round is written, so its lineage is short and survives
-    lost executors."""
+    in which each node came; with ``rounds`` only what comes by then. Each round is written, so
+    its lineage is short and survives lost executors; so are from time to time those so far."""
     frontier = store(seeds.select("node", F.lit(0).alias("round")).distinct())
     seen = frontier
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         frontier = store(
             frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.lit(k).alias("round")).distinct().join(seen.select("node"), "node", "left_anti")
         )
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if k % 16 == 0:
+            seen = store(seen)
     return seen
 
 

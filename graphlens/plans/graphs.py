@@ -39,14 +39,14 @@ def _taint(spark, sf_dir):
 
 
 def _store(spark):
-    """Cuts lineage: a checkpoint where a folder is set, else in memory for local runs."""
-    return lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """Cuts lineage: a checkpoint where a folder is set, else a local one for local runs."""
+    return lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
 
 
-def _closure(spark, sf_dir, reverse=False):
+def _closure(spark, sf_dir, rounds=None):
     co = bridge.copurchase(spark, sf_dir).persist()
     seeds = co.where("src < 300").select(F.col("src").alias("node")).distinct()
-    return graph.reach(co, seeds, _store(spark))
+    return graph.reach(co, seeds, _store(spark), rounds)
 
 
 @query(f"{TAINT} SELECT source, node, hops FROM paths")
@@ -118,7 +118,8 @@ def q_reachable_blocks(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {PARTS}, levels AS (SELECT src AS node, 0 AS round FROM co WHERE src < 300 UNION SELECT dst, round + 1 FROM levels JOIN co ON src = node WHERE round < 64), first AS (SELECT node, min(round) AS round FROM levels GROUP BY node) SELECT round, count(*) AS fresh FROM first GROUP BY round")
 def q_saturation(spark, sf_dir):
-    return _closure(spark, sf_dir).groupBy("round").agg(F.count("*").alias("fresh"))
+    """As many rounds as its SQL has."""
+    return _closure(spark, sf_dir, 64).groupBy("round").agg(F.count("*").alias("fresh"))
 
 
 @query(f"WITH {FLOW} SELECT func, src AS block, count(DISTINCT dst) AS ways FROM flow GROUP BY ALL HAVING count(DISTINCT dst) >= 2")

@@ -120,3 +120,11 @@ def test_scalars(spark):
 def test_scorer(spark):
     rows = spark.createDataFrame([(1, "x"), (2, None)], "key long, text string")
     assert {r["key"] for r in streams.score(rows).collect()} == {1, 2}
+
+
+def test_reach_goes_to_its_fixpoint(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(70)], "src long, dst long").localCheckpoint()
+    store = lambda df: df.coalesce(1).localCheckpoint()
+    found = graph.reach(e, spark.createDataFrame([(0,)], "node long"), store).collect()
+    assert {r["node"]: r["round"] for r in found} == {k: k for k in range(71)}
+    assert len(graph.reach(e, spark.createDataFrame([(0,)], "node long"), store, 3).collect()) == 4
