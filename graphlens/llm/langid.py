@@ -1,7 +1,8 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is cut from a bounded sample of its
-labelled texts, lower-cased. A text, lower-cased too, is encoded with each; the smallest result names the language. A
+labelled texts, lower-cased. A text, lower-cased too, is encoded with each in blocks of ``BLOCK`` bytes,
+all of them against the fresh dictionary; the smallest sum of sizes names the language. A
 narrow margin to the second rejects: the row is marked, its score is low.
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the language
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from graphlens.llm.common import arrow_map
 
 #: Bounds of the sample and the dictionaries.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LANGUAGES = 128, 600, 40_000, 64
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 128, 600, 40_000
+#: Bytes of text encoded at once: with the dictionary they fit the window, so all of a text counts alike.
+BLOCK = 32_768
 #: Margins (second smallest size over smallest, less 1) under this are rejected.
 MARGIN = 0.02
 #: Search for matches of four bytes on; words of prose are short.
@@ -32,11 +35,11 @@ def held_out(key: Column) -> Column:
 def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
     """(language, dictionary), most frequent language first.
 
-    ``documents`` are the labelled ones: doc_id, text, lang. The sample is, for each of at
-    most ``LANGUAGES`` languages, the texts with the smallest hashes of their ids.
+    ``documents`` are the labelled ones: doc_id, text, lang. The sample is, for each
+    language, the texts with the smallest hashes of their ids.
     """
     usable = documents.where("lang is not null and text is not null and doc_id is not null")
-    langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     chosen: list[int] = []
     for lang in langs:
         chosen += [r[0] for r in usable.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
@@ -76,7 +79,8 @@ class Classifier:
         # short texts repeat, so that their matches outweigh the frame around them
         while len(raw) < 64:
             raw += b"\n" + raw
-        sizes = [len(e.compress(raw)) for e in self.encoders]
+        blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+        sizes = [sum(len(e.compress(b)) for b in blocks) for e in self.encoders]
         ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         if len(ranked) == 1:
             return self.langs[0], 1.0, False
@@ -87,7 +91,7 @@ class Classifier:
 
 def classify(documents: DataFrame, dictionaries: list[tuple[str, bytes]], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row, from the whole text alone."""
-    shared = documents.sparkSession.sparkContext.broadcast(dictionaries)  # at most LANGUAGES x DICTIONARY_BYTES
+    shared = documents.sparkSession.sparkContext.broadcast(dictionaries)  # at most DICTIONARY_BYTES a language
 
     def make():
         classifier = Classifier(shared.value)

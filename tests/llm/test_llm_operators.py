@@ -554,3 +554,20 @@ def test_query_deduplicates_short_lines(spark, documents, sf_dir):
     after = count(r["text"] for r in queries.op7_line_dedup(spark, sf_dir).collect())
     assert any(n > 1 and len(x.split()) < 5 for x, n in before.items())
     assert max(after.values()) == 1 and set(after) <= set(before)
+
+
+def test_all_of_a_long_text_names_its_language(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    classify = langid.Classifier(langid.train(docs))
+    prose = {}
+    for lang in ("en", "de"):
+        text = "\n".join(r["text"] for r in docs.where(F.col("lang") == lang).orderBy("doc_id").select("text").collect() if r["text"])
+        prose[lang] = (text * (1_000_000 // len(text) + 1))[:1_000_000]
+    short, long = classify(prose["de"][:30_000]), classify(prose["de"])
+    assert short[0] == long[0] == "de" and not long[2] and abs(short[1] - long[1]) < 0.15
+    assert classify(prose["de"][:50_000] + "\n" + prose["en"])[0] == "en"
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"word{k} " * 20, f"l{k:02}") for k in range(70)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 70
