@@ -23,6 +23,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
+#: Parts of the labelled urls, for statistics of the others.
+FOLDS = 5
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "path_length", "suffix")
 
 
@@ -66,7 +68,7 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "length": level(n / 8, 31),
         "depth": level(count(path, "/"), 15),
         "digit_ratio": level(F.when(n > 0, number * 32 / n).otherwise(0), 31),
-        "entropy": level(_entropy(F.substring(url, 1, 2048)) * 4, 31),
+        "entropy": level(_entropy(url) * 4, 31),
         "n_params": level(F.when(F.instr(url, "?") > 0, count(F.substring_index(url, "?", -1), "=")).otherwise(0), 15),
         "n_labels": level(F.when(host == "", 0).otherwise(count(host, ".") + 1), 15),
         "path_length": level(F.length(path) / 4, 31),
@@ -74,8 +76,9 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 
 def suffix_of(host: Column, path: Column) -> Column:
-    """Last two host labels and the first path segment: the key of the suffix statistics."""
-    return F.concat_ws("/", F.substring_index(host, ".", -2), F.get(F.split(path, "/", 3), F.lit(1)))
+    """Top-level domain and file ending: the key of the suffix statistics. The rules look at
+    more of the host and at the path's beginning, so urls that none fits have these keys too."""
+    return F.concat_ws("/", F.substring_index(host, ".", -1), F.regexp_extract(path, r"\.([^./]*)$", 1))
 
 
 def boost(rows: list[tuple[tuple[int, ...], int, int]], trees: int = 24, depth: int = 3, rate: float = 0.3) -> tuple[float, list]:
@@ -135,12 +138,12 @@ def expression(tree, names: tuple[str, ...] = FEATURES) -> Column:
     return F.when(F.col(names[tree[0]]) <= tree[1], expression(tree[2], names)).otherwise(expression(tree[3], names))
 
 
-def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, sample: int = 20_000, suffixes: int = 4_096) -> DataFrame:
+def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", rules=RULES, sample: int = 20_000) -> DataFrame:
     """(id, host, path, rule, verdict, score) for each row.
 
-    Urls that a rule fits are the labelled ones. The trees learn from ``sample`` of them
-    at most (smallest hashes) and the statistics of ``suffixes`` suffixes at most, those
-    with most labels; all labelled rows count in these statistics.
+    Urls that a rule fits are the labelled ones; all of them count in the statistics of the
+    suffixes. The trees learn from ``sample`` of them at most (smallest hashes), each with the
+    statistics of the other folds, so that no label speaks for itself.
     """
     raw = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"))
     host, path = parts(F.col("url"))
@@ -149,16 +152,18 @@ def judge(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
     rows = rows.withColumns({"rule": text, "ruled": verdict, "tail": suffix_of(F.col("host"), F.col("path"))})
     rows = rows.withColumns(features(F.col("url"), F.col("host"), F.col("path")))
 
-    labelled = rows.where("rule is not null").withColumn("y", (F.col("ruled") == "block").cast("int"))
-    stats = labelled.groupBy("tail").agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy(F.desc("n"), "tail").limit(suffixes).collect()
-    shares = {r["tail"]: int(31 * (r["s"] + 1) / (r["n"] + 2)) for r in stats}
-    lookup = F.create_map(*[F.lit(x) for item in (shares | {"\x00": 15}).items() for x in item])
-    seen = F.coalesce(F.try_element_at(lookup, F.col("tail")), F.lit(15))
-    chosen = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).withColumn("suffix", seen)
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    labelled = rows.where("rule is not null").withColumns({"y": (F.col("ruled") == "block").cast("int"), "fold": fold})
+    each = lambda value: F.array(*[F.sum(F.when(F.col("fold") == k, value).otherwise(0)) for k in range(FOLDS)])
+    stats = labelled.groupBy("tail").agg(F.count("*").alias("n"), F.sum("y").alias("s"), each(F.lit(1)).alias("ns"), each(F.col("y")).alias("ss"))
+    share = lambda s, n: F.floor(31 * (s + 1) / (n + 2)).cast("int")
+    others = share(F.col("s") - F.col("ss")[F.col("fold")], F.col("n") - F.col("ns")[F.col("fold")])
+    chosen = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).join(stats, "tail").withColumn("suffix", others)
     counts = chosen.groupBy(*FEATURES, "y").count().collect()
     base, forest = boost([(tuple(r[: len(FEATURES)]), r[-2], r[-1]) for r in counts])
 
-    rows = rows.withColumn("suffix", seen)
+    none = F.lit(0)
+    rows = rows.join(stats.select("tail", "n", "s"), "tail", "left").withColumn("suffix", share(F.coalesce("s", none), F.coalesce("n", none)))
     score = F.lit(base)
     for tree in forest:
         score = score + expression(tree)

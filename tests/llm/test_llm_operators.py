@@ -571,3 +571,15 @@ def test_all_of_a_long_text_names_its_language(spark):
 def test_every_language_is_learned(spark):
     rows = [(k, f"word{k} " * 20, f"l{k:02}") for k in range(70)]
     assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == 70
+
+
+def test_suffix_statistics_reach_urls_without_a_rule(spark):
+    rows = [f"http://h.{end}/{k % 90 + 10}" for k in range(300) for end in ("com/en", "net/de")] + ["http://h.com/zz/55", "http://h.net/zz/55"]
+    found = {r["id"]: r for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert found[600]["rule"] is None and found[600]["score"] > 0.9 and found[600]["verdict"] == "block"
+    assert found[601]["rule"] is None and found[601]["score"] < 0.1 and found[601]["verdict"] == "allow"
+
+
+def test_entropy_is_of_the_whole_url(spark):
+    row = spark.createDataFrame([("a" * 2048 + "bcdefgh" * 600,)], "url string").select(urls.features(F.col("url"), F.lit(""), F.lit(""))["entropy"].alias("e")).first()
+    assert row["e"] > 8
