@@ -53,19 +53,19 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     )
 
 
-def statistics(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and the counts, one row for each document."""
+def statistics(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the counts and the ``carry`` columns (long), one row for each document."""
 
     def make():
         def step(columns: list) -> list:
             rows = [measure(t) for t in columns[1]]
-            return [columns[0], *(list(c) for c in zip(*rows, strict=True))] if rows else [[] for _ in range(len(COUNTS) + 1)]
+            return [columns[0], *(list(c) for c in zip(*rows, strict=True)), *columns[2:]] if rows else [[] for _ in range(len(COUNTS) + 1 + len(carry))]
 
         return step
 
     return arrow_map(
-        documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary")), make,
-        "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS), [("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS)],
+        documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary"), *carry), make,
+        "doc_id long, " + ", ".join(f"{c} long" for c in (*COUNTS, *carry)), [("doc_id", pa.int64()), *((c, pa.int64()) for c in (*COUNTS, *carry))],
     )
 
 
@@ -156,9 +156,9 @@ def training_rows(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return [(tuple(r[:-1]), r[-1] == 0) for r in rows.select(*features().values(), "quality").collect()]
 
 
-def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, the counts, base_failed, rule (0: none) and kept, one row for each document."""
-    stats = Scratch(documents.sparkSession, "quality").table(statistics(documents, id_column, text_column), "statistics")
+def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the counts, ``carry``, base_failed, rule (0: none) and kept, one row for each document."""
+    stats = Scratch(documents.sparkSession, "quality").table(statistics(documents, id_column, text_column, carry), "statistics")
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rules = learn([r for r in training_rows(stats.where(~base), labels)])
     return stats.withColumn("base_failed", base).withColumn("rule", expression(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -583,3 +583,14 @@ def test_suffix_statistics_reach_urls_without_a_rule(spark):
 def test_entropy_is_of_the_whole_url(spark):
     row = spark.createDataFrame([("a" * 2048 + "bcdefgh" * 600,)], "url string").select(urls.features(F.col("url"), F.lit(""), F.lit(""))["entropy"].alias("e")).first()
     assert row["e"] > 8
+
+
+def test_quality_stage_judges_each_row(spark, monkeypatch):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality long")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    good = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, good), (None, "few words"), (1, good), (1, "few words"), (1, good), (2, None), (3, good + " x")]
+    kept = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    same(kept, [r for r in rows if r[1] and len(r[1].split()) >= 50])
