@@ -1,4 +1,5 @@
-"""Licences of files: TF-IDF cosine of licence-like lines to templates, then inheritance
+"""Licences of files: TF-IDF cosine of licence-like lines and of blocks of lines around a cue
+(wrapped headers, paragraphs of licence files) to templates, then inheritance
 from the nearest ancestor directory that has a licence file, in DataFrame functions only.
 
 A file without licence lines, or with null or empty text, inherits; without a licensed
@@ -31,6 +32,21 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    *((f"GPL-{n}.0", f"This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{mark2} either version {n} of the License, or (at your option) any later version.") for n, mark, mark2 in ((2, ";", ";"), (3, ":", ","))),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "MIT License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0")),
+    *((x, f"SPDX-License-Identifier: {x}-{kind}") for x in ("GPL-2.0", "GPL-3.0", "LGPL-3.0") for kind in ("only", "or-later")),
 )
 CUES = r"(?i)licen[sc]|copyright|permission is hereby|redistribution and use|public domain|spdx|creative commons"
 
@@ -47,13 +63,37 @@ def lines_of(text: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+#: What begins a comment line, or a line within one.
+MARK = r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|<!--|%+|\"{3}|'{3})\s*"
+
+
+def paragraphs(text: Column, apart: bool) -> Column:
+    """Runs of lines that are not blank, without comment marks, each as one line. ``apart``:
+    comment lines and others do not share one."""
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, MARK, ""), r"\s*(?:\*+/|-->)?\s*$", ""))
+    tag = lambda x: F.when(x.rlike(MARK), "\x01").otherwise("\x02") if apart else F.lit("\x02")
+    whole = F.array_join(F.transform(F.split(text, "\n"), lambda x: F.concat(tag(x), bare(x))), "\n")
+    if apart:
+        whole = F.regexp_replace(F.regexp_replace(whole, "(\x02[^\n]+)\n\x01", "$1\n\x02\n\x01"), "(\x01[^\n]*)\n(\x02[^\n])", "$1\n\x02\n$2")
+    runs = F.split(whole, "(?:(?:^|\n)[\x01\x02](?=\n|$))+")
+    return F.filter(F.transform(runs, lambda x: F.trim(F.regexp_replace(x, "[\\s\x01\x02]+", " "))), lambda x: x != "")
+
+
+def blocks_of(text: Column) -> Column:
+    """Paragraphs that hold a licence cue."""
+    return F.when(
+        F.coalesce(text, F.lit("")).rlike(CUES),
+        F.filter(F.array_union(paragraphs(text, False), paragraphs(text, True)), lambda x: x.rlike(CUES)),
+    ).otherwise(F.array().cast("array<string>"))
+
+
 def weights(lines: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Unit TF-IDF vectors (line, term, w) and (name, wording, term, w).
+    """Unit TF-IDF vectors (hash of the line, term, w) and (name, wording, term, w).
 
     Document frequencies come from all occurrences of all licence lines (``lines``: line,
     n) and the templates. Lines are distinct, so a common one is weighed once.
     """
-    words = lines.select("line", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
+    words = lines.select(F.xxhash64("line").alias("line"), "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count("*").alias("tf"))
     known = templates.select("name", "wording", F.explode(terms(F.col("wording"))).alias("term")).groupBy("name", "wording", "term").agg(F.count("*").alias("tf"))
     total = lines.agg(F.sum("n").alias("t")).crossJoin(templates.agg(F.count("*").alias("k"))).select((F.coalesce("t", F.lit(0)) + F.col("k")).alias("total"))
     df = words.select("term", "n").union(known.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("n").alias("df"))
@@ -74,9 +114,10 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 def scan(files: DataFrame, path_column: str = "path", text_column: str = "text", least: float = 0.6, templates=TEMPLATES) -> DataFrame:
     """(path, own, score, n_lines, license, origin, license_dir) for each row of ``files``.
 
-    ``own`` is the template most like one of the file's licence lines, by cosine, if that is
-    at least ``least``. A file whose first line with a word is such a line is a licence file
-    of its directory; files without an own licence take that of the nearest directory
+    ``own`` is the template most like one of the file's licence lines or blocks, by cosine, if
+    that is at least ``least``; n_lines counts such lines. A file whose first line with a word is
+    one of these and no comment, or whose first paragraph is more like a template than any line, is a
+    licence file of its directory; files without an own licence take that of the nearest directory
     upwards that has one. Inheritance is settled once for each directory, so the number of
     files in one does not matter.
     """
@@ -84,10 +125,14 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     text = F.col(text_column)
     head = F.trim(F.get(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != ""), F.lit(0)))
     rows = store.table(
-        files.select(F.col(path_column).alias("path"), lines_of(text).alias("found"), F.when(text.rlike(CUES), head).alias("head")).withColumn("row", F.monotonically_increasing_id()),
+        files.select(
+            F.col(path_column).alias("path"), lines_of(text).alias("found"), blocks_of(text).alias("blocks"),
+            F.when(text.rlike(CUES) & ~head.rlike(MARK), head).alias("head"), F.when(text.rlike(CUES) & ~head.rlike(MARK), F.get(paragraphs(text, False), F.lit(0))).alias("top"),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "rows",
     )
-    each = rows.where(F.size("found") > 0).select("row", "path", "head", F.explode("found").alias("line"))
+    single = rows.select("row", "path", "head", "top", F.explode("found").alias("line"), F.lit(True).alias("single"))
+    each = single.union(rows.select("row", "path", "head", "top", F.explode(F.array_except("blocks", "found")), F.lit(False)))
     lines = each.groupBy("line").agg(F.count("*").alias("n"))
     ours, theirs = weights(lines, template_table(spark, templates))
     cosine = ours.join(theirs.withColumnRenamed("w", "w2"), "term").groupBy("line", "name", "wording").agg(F.sum(F.col("w") * F.col("w2")).alias("cosine"))
@@ -95,11 +140,12 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
         "line", F.col("b.name").alias("name"), (-F.col("b.minus")).alias("cosine")
     ).where(F.col("cosine") >= least)
     best = store.table(best, "best")
-    own = each.join(best, "line").groupBy("row", "path").agg(
+    own = each.withColumn("key", F.xxhash64("line")).join(best.withColumnRenamed("line", "key"), "key").groupBy("row", "path").agg(
         F.min(F.struct((-F.col("cosine")).alias("minus"), "name")).alias("b"),
-        F.max(F.col("head") == F.col("line")).alias("is_file"), F.count("*").alias("n_lines"),
+        F.coalesce(F.max(F.col("single") & (F.col("head") == F.col("line"))), F.lit(False)).alias("by_line"), (F.max(F.when(F.col("top") == F.col("line"), F.col("cosine"))) > F.coalesce(F.max(F.when(F.col("single"), F.col("cosine"))), F.lit(0))).alias("by_block"),
+        F.sum(F.col("single").cast("long")).alias("n_lines"),
     )
-    own = store.table(own.select("row", "path", F.col("b.name").alias("own"), (-F.col("b.minus")).alias("score"), "is_file", "n_lines"), "own")
+    own = store.table(own.select("row", "path", F.col("b.name").alias("own"), (-F.col("b.minus")).alias("score"), (F.col("by_line") | F.coalesce("by_block", F.lit(False))).alias("is_file"), "n_lines"), "own")
 
     up = lambda d: F.when(F.instr(d, "/") > 0, F.regexp_replace(d, "/[^/]*$", ""))
     licensed = own.where("is_file").groupBy(up(F.col("path")).alias("dir")).agg(

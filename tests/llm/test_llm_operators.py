@@ -594,3 +594,16 @@ def test_quality_stage_judges_each_row(spark, monkeypatch):
     rows = [(None, good), (None, "few words"), (1, good), (1, "few words"), (1, good), (2, None), (3, good + " x")]
     kept = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     same(kept, [r for r in rows if r[1] and len(r[1].split()) >= 50])
+
+
+def test_wrapped_headers_and_identifiers_are_licences(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    marked = lambda t, m: "\n".join(m + x for x in t.split("\n"))
+    rows = [
+        ("a/x.py", marked(gpl, "# ") + "\nimport os", "GPL-3.0", "header"), ("b/x.c", "/*\n" + marked(mpl, " * ") + "\n */\nint x;", "MPL-2.0", "header"),
+        ("c/x.rs", "// SPDX-License-Identifier: MIT\nfn x() {}", "MIT", "header"), ("d/x.go", "// SPDX-License-Identifier: Apache-2.0\npackage x", "Apache-2.0", "header"),
+        ("e/COPYING", gpl + "\n\nmore", "GPL-3.0", "licence_file"), ("e/f/x", "code", "GPL-3.0", "inherited"), ("a/y", "code", None, "none"), ("c/y", "code", None, "none"),
+    ]
+    found = licenses.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()
+    assert {(r["path"], r["license"], r["origin"]) for r in found} == {(p, v, o) for p, _, v, o in rows}
