@@ -40,21 +40,47 @@ def bayes(prior: Column, given: Column, otherwise: Column) -> Column:
     return F.when(total == 0, prior).otherwise(clamp(prior * given / total, 0.0, 1.0))
 
 
-def endpoint_score(method: Column, n_params: Column, auth: Column, route: Column) -> Column:
-    """Risk from 1 to 10: base, method, parameters (4 at most), authentication and route."""
+# Weights of parameters by kind, words of routes, in the order they are tried.
+PARAM_WEIGHT = {"file": 4, "body": 2, "form": 1, "query": 1, "path": 0, "header": 0, "cookie": 0}
+ADMIN_WORDS = (
+    "admin", "manage", "dashboard", "config", "setting", "actuator", "jmx", "console", "swagger", "api-doc", "graphql", "graphiql", "debug", "trace", "profile", "health", "info",
+    "metrics", "env", "log", "backup", "restore", "import", "export", "register", "signup", "login", "signin", "auth", "oauth", "token", "reset", "password", "verify", "user",
+    "account", "profile", "role", "permission",
+)
+FILE_WORDS = ("upload", "download", "file", "image", "photo", "avatar", "attachment", "media", "static", "backup", "export", "import", "report")
+CATEGORY_WORDS = (
+    ("file_upload", ("upload", "file", "image", "avatar", "attachment")),
+    ("admin_exposed", ("admin", "manage", "dashboard", "config", "setting", "actuator", "jmx", "console", "swagger", "api-doc")),
+    ("config_leak", ("debug", "trace", "health", "info", "metrics", "env", "graphql", "graphiql")),
+)
+LOGIN_WORDS = ("login", "signin", "register", "signup", "token", "reset", "password", "oauth", "verify")
+
+
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(words))
+
+
+def params_score(kinds: Column) -> Column:
+    """Weights of an array of parameter kinds, four at most."""
+    return F.least(F.lit(4), F.aggregate(kinds, F.lit(0), lambda total, k: total + lookup(k, PARAM_WEIGHT, 0)))
+
+
+def endpoint_score(method: Column, params: Column, auth: Column, route: Column) -> Column:
+    """Risk from 1 to 10: base, method, parameters (their score, 4 at most), authentication and route."""
     mutating = ~method.isin("GET", "HEAD", "OPTIONS")
-    score = 1 + lookup(method, METHOD_WEIGHT, 1) + F.least(F.lit(4), n_params)
+    score = 1 + lookup(method, METHOD_WEIGHT, 1) + F.least(F.lit(4), params)
     score = score + F.when(auth, -1).when(mutating, 3).otherwise(1)
-    return clamp(score + F.when(F.lower(route).rlike("admin|manage|config|user"), 2).otherwise(0) + F.when(F.lower(route).rlike("upload|file|export|download"), 3).otherwise(0), 1, 10).cast("int")
+    return clamp(score + F.when(holds(F.lower(route), ADMIN_WORDS), 2).otherwise(0) + F.when(holds(F.lower(route), FILE_WORDS), 3).otherwise(0), 1, 10).cast("int")
 
 
-def category(method: Column, auth: Column, route: Column, score: Column) -> Column:
-    path = F.lower(route)
-    return (
-        F.when(path.rlike("admin|manage|config"), "admin").when(path.rlike("upload|file"), "file_operation").when(path.rlike("login|auth|token"), "auth")
-        .when(~auth & method.isin("POST", "PUT", "DELETE", "PATCH"), "unauthenticated_write").when(method.isin("POST", "PUT", "DELETE", "PATCH"), "data_write")
-        .when(score >= 4, "public_read").otherwise("unknown")
-    )
+def category(method: Column, auth: Column, route: Column, has_file: Column | None = None) -> Column:
+    """The first class that fits: files, administration, leaks, logins and changes without a guard, changes, reads."""
+    path, out = F.lower(route), None
+    for name, words in CATEGORY_WORDS:
+        fits = holds(path, words) if out is not None or has_file is None else has_file | holds(path, words)
+        out = F.when(fits, name) if out is None else out.when(fits, name)
+    changes = method.isin("POST", "PUT", "DELETE", "PATCH")
+    return out.when(~auth & (holds(path, LOGIN_WORDS) | changes), "auth_bypass").when(changes, "data_mutation").when(~auth, "public_read").otherwise("unknown")
 
 
 def cvss_label(score: Column) -> Column:
@@ -87,12 +113,12 @@ def affordable(score_tier: Column, tokens_in: Column, budget: Column) -> Column:
 
 
 def version_below(actual: Column, minimum: Column) -> Column:
-    """Dotted numbers compared with zeros for what is missing; unreadable ones are below."""
+    """Dotted numbers compared with zeros for what is missing; if one is unreadable it is below."""
     read = lambda v: F.transform(F.split(v, "[.]"), lambda x: x.try_cast("int"))
-    at = lambda v, i: F.coalesce(F.get(read(v), i), F.lit(0))
-    broken = F.exists(read(actual), lambda x: x.isNull()) | actual.isNull()
-    full = lambda v: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: at(v, i))
-    return broken | (full(actual) < full(minimum))
+    broken = F.coalesce(F.exists(F.concat(read(actual), read(minimum)), lambda x: x.isNull()), F.lit(True))
+    n = F.greatest(F.size(read(actual)), F.size(read(minimum)))
+    full = lambda v: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(read(v), i), F.lit(0)))
+    return F.when(broken, True).otherwise(full(actual) < full(minimum))
 
 
 def chao(only: Column, both: Column) -> Column:

@@ -11,7 +11,7 @@ BUCKET = 64
 
 def inverted_index(chunks: DataFrame) -> DataFrame:
     """(term, chunk): the distinct lower-case words of three letters or more."""
-    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))), lambda t: F.length(t) >= 3)
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))), lambda t: F.length(t) >= 3)
     return chunks.select(F.explode(words).alias("term"), "chunk")
 
 

@@ -67,28 +67,104 @@ def scan_lines(lines: DataFrame, rules=LINE_RULES) -> DataFrame:
     return rows.where("f.pattern is not null").select("file", "dir", "language", "line_no", "f.*")
 
 
-def categories(texts: DataFrame, rules: DataFrame, section: str) -> DataFrame:
-    """(key, category, pattern, ord): substring rules that a text holds. ``texts`` (key, text)."""
-    return texts.join(F.broadcast(rules.where(F.col("section") == section)), F.col("text").contains(F.col("pattern"))).select("key", "category", "pattern", "ord")
+def hits(text: Column, section: str, rules=TEXT_RULES) -> Column:
+    """array<struct<category, pattern>>: the substring rules that a text holds. The rules are literals
+    of the row's expression, so nothing is joined or shuffled."""
+    listed = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(p).alias("pattern")) for c, s, p, _ in rules if s == section])
+    return F.filter(listed, lambda r: text.contains(r["pattern"]))
 
 
-def multi_label(texts: DataFrame, rules: DataFrame, section: str) -> DataFrame:
-    return categories(texts, rules, section).groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("labels"))
+def _labels(found: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda r: r["category"]))), ",")
 
 
-def longest_match(texts: DataFrame, rules: DataFrame, section: str) -> DataFrame:
+def multi_label(texts: DataFrame, section: str, rules=TEXT_RULES) -> DataFrame:
+    """(key, labels): all categories of the section that a text (key, text) has, sorted."""
+    return texts.select("key", hits(F.col("text"), section, rules).alias("f")).where(F.size("f") > 0).select("key", _labels(F.col("f")).alias("labels"))
+
+
+def longest_match(texts: DataFrame, section: str, rules=TEXT_RULES) -> DataFrame:
     """(key, category): that of the longest pattern, ties to the first category."""
-    w = Window.partitionBy("key").orderBy(F.desc(F.length("pattern")), "category")
-    return categories(texts, rules, section).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("key", "category")
+    best = F.array_min(F.transform("f", lambda r: F.struct((-F.length(r["pattern"])).alias("n"), r["category"].alias("category"))))
+    return texts.select("key", hits(F.col("text"), section, rules).alias("f")).where(F.size("f") > 0).select("key", best["category"].alias("category"))
 
 
-def taint_labels(texts: DataFrame, rules: DataFrame) -> DataFrame:
+def taint_labels(texts: DataFrame, rules=TEXT_RULES) -> DataFrame:
     """(key, label, role): a source label wins over a sink label, excluded texts have no sink."""
-    exclude = rules.where("section = 'exclude'").agg(F.array_join(F.collect_list("pattern"), "|").alias("out"))
-    source = multi_label(texts, rules, "source").withColumnRenamed("labels", "src")
-    allowed = texts.join(F.broadcast(exclude)).where(~F.rlike("text", F.col("out"))).select("key", "text")
-    sink = multi_label(allowed, rules, "sink").withColumnRenamed("labels", "snk")
-    return source.join(sink, "key", "full").select("key", F.coalesce("src", "snk").alias("label"), F.when(F.col("src").isNotNull(), "source").otherwise("sink").alias("role"))
+    out = "|".join(p for _, s, p, _ in rules if s == "exclude")
+    sink = F.when(F.lit(not out) | ~F.col("text").rlike(out or "$."), hits(F.col("text"), "sink", rules)).otherwise(F.slice(hits(F.col("text"), "sink", rules), 1, 0))
+    rows = texts.select("key", hits(F.col("text"), "source", rules).alias("src"), sink.alias("snk")).where((F.size("src") > 0) | (F.size("snk") > 0))
+    first = F.size("src") > 0
+    return rows.select("key", F.when(first, _labels(F.col("src"))).otherwise(_labels(F.col("snk"))).alias("label"), F.when(first, "source").otherwise("sink").alias("role"))
+
+
+def load_rules(text: str) -> list[tuple[str, str, str, str, int]]:
+    """(language, section, category, pattern, order) rows of a rule file: JSON, or the part of YAML that nests
+    mappings by two spaces and lists by dashes: language, category, section, patterns."""
+    import json
+
+    try:
+        tree = json.loads(text)
+    except ValueError:
+        tree = _nested(text)
+    rows = []
+    for language, kinds in tree.items():
+        for category, sections in kinds.items():
+            if isinstance(sections, list):
+                sections = {category: sections}
+            for section, patterns in sections.items():
+                rows += [(language, section, category, str(p), k) for k, p in enumerate(patterns or [])]
+    return rows
+
+
+def _nested(text: str) -> dict:
+    root: dict = {}
+    stack: list[tuple[int, dict, str]] = [(-1, {"": root}, "")]
+    for line in text.splitlines():
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
+            continue
+        depth = len(line) - len(line.lstrip())
+        if bare.startswith("- "):
+            holder, key = next((h, k) for d, h, k in reversed(stack) if d < depth or (d == depth and k))
+            value = bare[2:].strip()
+            if not isinstance(holder[key], list):
+                holder[key] = []
+            holder[key].append(value[1:-1] if value[:1] in "\"'" and value[-1:] == value[:1] else value)
+            continue
+        while stack[-1][0] >= depth:
+            stack.pop()
+        _, holder, key = stack[-1]
+        name = bare.rstrip(":").strip().strip("\"'")
+        if not isinstance(holder[key], dict):
+            holder[key] = {}
+        holder[key][name] = {}
+        stack.append((depth, holder[key], name))
+    return root
+
+
+LANGUAGES, SECTIONS = ("python", "javascript", "java"), ("sources", "sinks", "sanitizers", "sink_excludes")
+
+
+def rule_problems(rules: DataFrame) -> DataFrame:
+    """(language, section, category, pattern, problem): rules of unknown languages or sections, empty or repeated ones."""
+    rows = rules.withColumn("times", F.count("*").over(Window.partitionBy("language", "section", "category", "pattern")))
+    problem = F.when(~F.col("language").isin(*LANGUAGES), "language").when(~F.col("section").isin(*SECTIONS), "section").when(F.trim("pattern") == "", "empty").when(F.col("times") > 1, "repeated")
+    return rows.withColumn("problem", problem).where(F.col("problem").isNotNull()).select("language", "section", "category", "pattern", "problem").distinct()
+
+
+def rules_for(rules: DataFrame, language: str) -> DataFrame:
+    """(category, sources, sinks, sanitizers) of a language."""
+    listed = lambda s: F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("ord", "pattern"))))["pattern"].alias(s)
+    return rules.where(F.col("language") == language).groupBy("category").agg(*map(listed, SECTIONS[:3]))
+
+
+def patterns(rules: DataFrame, language: str, section: str) -> DataFrame:
+    return rules.where((F.col("language") == language) & (F.col("section") == section)).select("pattern").distinct().orderBy("pattern")
+
+
+def languages(rules: DataFrame) -> DataFrame:
+    return rules.select("language").distinct().orderBy("language")
 
 
 def find_nodes(nodes: DataFrame, pattern: str, columns: list[str], limit: int = 200) -> DataFrame:

@@ -10,7 +10,6 @@ from graphlens.plans.registry import query
 from graphlens.sources import bridge
 
 CALLS = "calls AS (SELECT event_id AS call_id, ts, user_id AS session, event_type AS phase, value AS tokens, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
-FAMILIES = (("CWE-1", "CWE-2", "CWE-3"), ("CWE-4", "CWE-5"))
 
 
 @query(f"WITH {CALLS} SELECT phase, round(sum(tokens), 4) AS cost, count(*) AS n FROM calls GROUP BY phase")
@@ -108,18 +107,11 @@ def q_belief_update(spark, sf_dir):
     return bridge.calls(spark, sf_dir).where("tokens between 0 and 200").select("call_id", F.round(S.bayes(prior, F.lit(0.9), F.lit(0.2)), 6).alias("posterior"))
 
 
-@query(f"WITH {CALLS}, w AS (SELECT session, sum(CASE phase WHEN 'purchase' THEN ln(0.6 / 0.4) WHEN 'click' THEN ln(0.45 / 0.55) ELSE 0 END) AS odds FROM calls WHERE k < 20 GROUP BY session) SELECT session, round(1 / (1 + exp(-odds)), 6) AS belief FROM w")
+@query(f"WITH {CALLS}, w AS (SELECT session, sum(CASE phase WHEN 'purchase' THEN ln(0.6 / 0.4) WHEN 'click' THEN ln(0.45 / 0.55) ELSE 0 END) AS odds FROM calls GROUP BY session) SELECT session, round(1 / (1 + exp(-odds)), 6) AS belief FROM w")
 def q_belief_fold(spark, sf_dir):
     """All evidence of a session at once: log odds add up, so no ordered fold is needed."""
     step = F.when(F.col("phase") == "purchase", F.log(F.lit(0.6 / 0.4))).when(F.col("phase") == "click", F.log(F.lit(0.45 / 0.55))).otherwise(0.0)
-    return bridge.calls(spark, sf_dir).where("k < 20").groupBy("session").agg(F.round(1 / (1 + F.exp(-F.sum(step))), 6).alias("belief"))
-
-
-@query("SELECT p_partkey, CAST(CASE WHEN p_size >= 45 THEN 9.8 WHEN p_size >= 35 THEN 7.5 WHEN p_size >= 20 THEN 5.0 ELSE 2.5 END AS DOUBLE) AS score, CASE WHEN p_size >= 45 THEN 'critical' WHEN p_size >= 35 THEN 'high' WHEN p_size >= 20 THEN 'medium' ELSE 'low' END AS label FROM part")
-def q_cvss_lookup(spark, sf_dir):
-    size = F.col("p_size")
-    score = F.when(size >= 45, 9.8).when(size >= 35, 7.5).when(size >= 20, 5.0).otherwise(2.5)
-    return bridge.table(spark, sf_dir, "part").select("p_partkey", score.alias("score"), S.cvss_label(score).alias("label"))
+    return bridge.calls(spark, sf_dir).groupBy("session").agg(F.round(1 / (1 + F.exp(-F.sum(step))), 6).alias("belief"))
 
 
 @query("WITH s AS (SELECT p_partkey, CAST(least(10, 1 + least(3, p_size // 3) + least(3, p_partkey % 5) + CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 0 END + least(2, (p_partkey % 6) // 2)) AS INTEGER) AS complexity FROM part) SELECT p_partkey, complexity, CASE WHEN complexity <= 4 THEN 'cheap' WHEN complexity <= 7 THEN 'mid' ELSE 'strong' END AS tier FROM s")
@@ -140,12 +132,6 @@ def q_router_budget(spark, sf_dir):
     return bridge.table(spark, sf_dir, "part").select("p_partkey", S.affordable(wanted, F.col("p_size") * 100, F.col("p_retailprice") / 20000).alias("tier"))
 
 
-@query("SELECT p_partkey, CAST(score0 AS DOUBLE) AS score FROM (SELECT p_partkey, CASE WHEN a = b THEN 1.0 WHEN (a IN ('CWE-1', 'CWE-2', 'CWE-3') AND b IN ('CWE-1', 'CWE-2', 'CWE-3')) OR (a IN ('CWE-4', 'CWE-5') AND b IN ('CWE-4', 'CWE-5')) THEN 0.7 ELSE 0.3 END AS score0 FROM (SELECT p_partkey, 'CWE-' || (p_partkey % 7) AS a, 'CWE-' || (p_size % 7) AS b FROM part))")
-def q_eval_cwe_score(spark, sf_dir):
-    a, b = F.concat(F.lit("CWE-"), F.col("p_partkey") % 7), F.concat(F.lit("CWE-"), F.col("p_size") % 7)
-    return bridge.table(spark, sf_dir, "part").select("p_partkey", S.cwe_score(a, b, FAMILIES).alias("score"))
-
-
 @query("SELECT o_orderkey, abs((o_orderkey % 5) - (o_custkey % 5)) AS distance FROM orders")
 def q_eval_severity_distance(spark, sf_dir):
     names = F.array(*map(F.lit, ("info", "low", "medium", "high", "critical")))
@@ -153,12 +139,6 @@ def q_eval_severity_distance(spark, sf_dir):
     return bridge.table(spark, sf_dir, "orders").select("o_orderkey", S.severity_distance(pick("o_orderkey"), pick("o_custkey")).cast("long").alias("distance"))
 
 
-@query("SELECT o_orderpriority AS expected, o_orderstatus AS verdict, count(*) AS n, round(avg(CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'P' THEN 0.5 ELSE 0.0 END), 4) AS score FROM orders GROUP BY ALL")
-def q_l1_validation(spark, sf_dir):
-    score = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "P", 0.5).otherwise(0.0)
-    return bridge.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("expected"), F.col("o_orderstatus").alias("verdict")).agg(F.count("*").alias("n"), F.round(F.avg(score), 4).alias("score"))
-
-
 @query("SELECT e.event_id, coalesce(x.doc_id, y.doc_id) AS hypothesis, CASE WHEN x.doc_id IS NOT NULL THEN 'exact' WHEN y.doc_id IS NOT NULL THEN 'prefix' END AS matched FROM events e LEFT JOIN (SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL) x ON x.source = 'src' || (e.user_id % 20) AND x.lang = ['en', 'fr', 'it'][e.event_id % 3 + 1] LEFT JOIN (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY ALL) y ON y.source = 'src' || (e.user_id % 20)")
 def q_enrich_cascade(spark, sf_dir):
     """Two lookups in order of preference: (source, type), then source alone."""

@@ -38,15 +38,9 @@ def _taint(spark, sf_dir):
     return graph.taint_paths(bridge.edges(spark, sf_dir), bridge.nodes(spark, sf_dir), 4)
 
 
-def _store(spark):
-    """Cuts lineage: a checkpoint where a folder is set, else a local one for local runs."""
-    return lambda df: df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
-
-
 def _closure(spark, sf_dir, rounds=None):
-    co = bridge.copurchase(spark, sf_dir).persist()
-    seeds = co.where("src < 300").select(F.col("src").alias("node")).distinct()
-    return graph.reach(co, seeds, _store(spark), rounds)
+    seeds = bridge.table(spark, sf_dir, "part").where("p_size >= 48").select(F.col("p_partkey").alias("node"))
+    return graph.reach(bridge.copurchase(spark, sf_dir), seeds, rounds)
 
 
 @query(f"{TAINT} SELECT source, node, hops FROM paths")
@@ -91,35 +85,48 @@ def q_bfs_backward(spark, sf_dir):
     return graph.bfs(bridge.edges(spark, sf_dir), seeds, None, 2, reverse=True).groupBy("node").agg(F.min("hops").alias("hops"))
 
 
-@query(f"WITH {PARTS}, r1 AS (SELECT src, dst, 1 AS n FROM co) SELECT a.src, b.dst, min(n) AS hops FROM (SELECT src, dst, 1 AS n, dst AS m FROM co) a JOIN (SELECT src, dst FROM co) b ON a.dst = b.src WHERE a.src < 100 AND a.src <> b.dst GROUP BY ALL")
+WALK = """walk AS (SELECT node_id AS source, dst AS node, 1 AS hops FROM s JOIN co ON src = node_id
+  UNION SELECT source, dst, hops + 1 FROM walk JOIN co ON src = node WHERE hops < 19 AND node NOT IN (SELECT node_id FROM t))"""
+
+
+@query(f"WITH RECURSIVE {PARTS}, s AS (SELECT min(src) AS node_id FROM co), t AS (SELECT -1 AS node_id), {WALK} SELECT node, min(hops) AS hops FROM walk WHERE node <> source GROUP BY node")
 def q_call_chain(spark, sf_dir):
-    """Callees of callees of the functions under 100, by way of one other."""
+    """The lengths of the shortest chains of calls from the first function to each other, of twenty nodes at most."""
     co = bridge.copurchase(spark, sf_dir)
-    two = co.select(F.col("src").alias("mid"), F.col("dst").alias("end"))
-    return co.where("src < 100").join(two, F.col("dst") == F.col("mid")).where("src <> end").select("src", F.col("end").alias("dst"), F.lit(1).alias("hops")).distinct()
+    return graph.bfs(co, co.agg(F.min("src").alias("node_id")), None, 19).where("hops > 0").select("node", F.col("hops").cast("int").alias("hops"))
 
 
-@query(f"WITH {PARTS} SELECT dst AS node, src AS neighbour FROM co WHERE dst < 200")
+@query(f"WITH RECURSIVE {PARTS}, s AS (SELECT p_partkey AS node_id FROM part WHERE p_size = 50), t AS (SELECT p_partkey AS node_id FROM part WHERE p_size = 1), {WALK} SELECT source, node, min(hops) AS hops FROM walk WHERE node IN (SELECT node_id FROM t) GROUP BY ALL")
+def q_find_path(spark, sf_dir):
+    """From each source to the sinks that it reaches, at the full depth of twenty nodes; sinks are not expanded."""
+    part = bridge.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), "p_size")
+    return graph.bfs(bridge.copurchase(spark, sf_dir), part.where("p_size = 50"), part.where("p_size = 1"), 19)
+
+
+@query(f"WITH {PARTS} SELECT dst AS node, src AS neighbour FROM co")
 def q_callers(spark, sf_dir):
     co = bridge.copurchase(spark, sf_dir)
-    return graph.neighbours(co, co.where("dst < 200").select(F.col("dst").alias("node")).distinct(), reverse=True)
+    return graph.neighbours(co, co.select(F.col("dst").alias("node")).distinct(), reverse=True)
 
 
-@query(f"WITH {PARTS} SELECT src AS node, dst AS neighbour FROM co WHERE src < 200")
+@query(f"WITH {PARTS} SELECT src AS node, dst AS neighbour FROM co")
 def q_callees(spark, sf_dir):
     co = bridge.copurchase(spark, sf_dir)
-    return graph.neighbours(co, co.where("src < 200").select(F.col("src").alias("node")).distinct())
+    return graph.neighbours(co, co.select(F.col("src").alias("node")).distinct())
+
+
+SEEDS = "seeds AS (SELECT p_partkey AS node FROM part WHERE p_size >= 48)"
 
 
-@query(f"WITH RECURSIVE {PARTS}, reach AS (SELECT src AS node FROM co WHERE src < 300 UNION SELECT dst FROM reach JOIN co ON src = node) SELECT node FROM reach")
+@query(f"WITH RECURSIVE {PARTS}, {SEEDS}, reach AS (SELECT node FROM seeds UNION SELECT dst FROM reach JOIN co ON src = node) SELECT node FROM reach")
 def q_reachable_blocks(spark, sf_dir):
     return _closure(spark, sf_dir).select("node")
 
 
-@query(f"WITH RECURSIVE {PARTS}, levels AS (SELECT src AS node, 0 AS round FROM co WHERE src < 300 UNION SELECT dst, round + 1 FROM levels JOIN co ON src = node WHERE round < 64), first AS (SELECT node, min(round) AS round FROM levels GROUP BY node) SELECT round, count(*) AS fresh FROM first GROUP BY round")
+@query(f"WITH RECURSIVE {PARTS}, {SEEDS}, levels AS (SELECT node, 0 AS round FROM seeds UNION SELECT dst, round + 1 FROM levels JOIN co ON src = node WHERE round < 4), first AS (SELECT node, min(round) AS round FROM levels GROUP BY node) SELECT round, count(*) AS fresh FROM first GROUP BY round")
 def q_saturation(spark, sf_dir):
-    """As many rounds as its SQL has."""
-    return _closure(spark, sf_dir, 64).groupBy("round").agg(F.count("*").alias("fresh"))
+    """New nodes in each of the four rounds that a saturation scan has."""
+    return _closure(spark, sf_dir, 4).groupBy("round").agg(F.count("*").alias("fresh"))
 
 
 @query(f"WITH {FLOW} SELECT func, src AS block, count(DISTINCT dst) AS ways FROM flow GROUP BY ALL HAVING count(DISTINCT dst) >= 2")
@@ -135,7 +142,8 @@ def _relation(name):
     return run
 
 
-for _name, _relation_name, _sql in (("q_dominators", "dominates", f"{CUT} SELECT func, a, b FROM dom"), ("q_post_dominators", "post_dominates", f"{CUT} SELECT func, a, b FROM post"), ("q_control_dependence", "controls", f"{CONTROLS} SELECT func, a, b FROM controls")):
+for _name, _relation_name, _sql in (("q_dominators", "dominates", f"{CUT} SELECT func, a, b FROM dom"), ("q_post_dominators", "post_dominates", f"{CUT} SELECT func, a, b FROM post"), ("q_control_dependence", "controls", f"{CONTROLS} SELECT func, a, b FROM controls"),
+                                     ("q_immediate_dominators", "immediate", f"{CUT} SELECT x.func, x.a, x.b FROM dom x WHERE x.a <> x.b AND NOT EXISTS (SELECT 1 FROM dom y WHERE y.func = x.func AND y.b = x.b AND y.a <> x.b AND NOT EXISTS (SELECT 1 FROM dom z WHERE z.func = x.func AND z.a = y.a AND z.b = x.a))")):
     _f = _relation(_relation_name)
     _f.__name__ = _name
     query(_sql)(_f)

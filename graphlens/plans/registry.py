@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from graphlens.plans import analytics, graphs, scans, states  # noqa: F401 - registers
+    from graphlens.plans import analytics, audit, graphs, scans, states  # noqa: F401 - registers
 
     return dict(QUERIES)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphlens.functions import scalars as S
-from graphlens.operators import retrieval, rules
+from graphlens.operators import report, retrieval, rules
 from graphlens.plans.registry import query
 from graphlens.sources import bridge, files
 
@@ -78,12 +78,10 @@ def q_sarif_rules(spark, sf_dir):
     )
 
 
-@query(f"{FOUND}, ranked AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY file, line_no) AS rn FROM found) SELECT rule_id, file, line_no, split_part(rule_id, '-', 1) || '-' || lpad(CAST(rn AS VARCHAR), 3, '0') AS owasp_id FROM ranked WHERE rn <= 999")
+@query(f"{FOUND}, ranked AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY file, line_no) AS rn FROM found) SELECT rule_id, file, line_no, split_part(rule_id, '-', 1) || '-' || CASE WHEN rn < 1000 THEN lpad(CAST(rn AS VARCHAR), 3, '0') ELSE CAST(rn AS VARCHAR) END AS owasp_id FROM ranked")
 def q_owasp_ids(spark, sf_dir):
-    w = Window.partitionBy("rule_id").orderBy("file", "line_no")
-    return rules.scan_lines(bridge.lines(spark, sf_dir)).withColumn("rn", F.row_number().over(w)).where("rn <= 999").select(
-        "rule_id", "file", "line_no", F.concat_ws("-", F.split("rule_id", "-")[0], F.lpad(F.col("rn").cast("string"), 3, "0")).alias("owasp_id")
-    )
+    found = report.numbered(rules.scan_lines(bridge.lines(spark, sf_dir)), "rule_id", ["file", "line_no"], F.floor(F.col("file") / report.BUCKET))
+    return found.select("rule_id", "file", "line_no", F.concat_ws("-", F.split("rule_id", "-")[0], report.padded(F.col("rn"))).alias("owasp_id"))
 
 
 @query(f"{FOUND}, around AS (SELECT f.file, f.line_no, f.rule_id, l.line_no AS at, length(l.line) AS n FROM found f JOIN lines l ON l.file = f.file AND l.line_no BETWEEN f.line_no - 2 AND f.line_no + 2) SELECT file, line_no, rule_id, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_chars FROM around GROUP BY ALL")
@@ -95,35 +93,34 @@ def q_context_lines(spark, sf_dir):
 
 @query(f"WITH {TEXTS} SELECT key, string_agg(DISTINCT category, ',' ORDER BY category) AS labels FROM texts JOIN rules ON section = 'source' AND contains(text, pattern) GROUP BY key")
 def q_multi_label(spark, sf_dir):
-    return rules.multi_label(_texts(spark, sf_dir), rules.text_rules(spark), "source")
+    return rules.multi_label(_texts(spark, sf_dir), "source")
 
 
 @query(f"WITH {TEXTS} SELECT key, category FROM (SELECT key, category, row_number() OVER (PARTITION BY key ORDER BY length(pattern) DESC, category) AS rn FROM texts JOIN rules ON section = 'sink' AND contains(text, pattern)) WHERE rn = 1")
 def q_longest_match(spark, sf_dir):
-    return rules.longest_match(_texts(spark, sf_dir), rules.text_rules(spark), "sink")
+    return rules.longest_match(_texts(spark, sf_dir), "sink")
 
 
 @query(f"WITH {TEXTS} SELECT category, section, count(*) AS n FROM texts JOIN rules ON section <> 'exclude' AND contains(text, pattern) GROUP BY ALL")
 def q_rule_scan_substring(spark, sf_dir):
-    both = F.broadcast(rules.text_rules(spark).where("section <> 'exclude'"))
-    return _texts(spark, sf_dir).join(both, F.col("text").contains(F.col("pattern"))).groupBy("category", "section").agg(F.count("*").alias("n"))
+    found = lambda s: F.transform(rules.hits(F.col("text"), s), lambda r: F.struct(r["category"].alias("category"), F.lit(s).alias("section")))
+    return _texts(spark, sf_dir).select(F.explode(F.concat(found("source"), found("sink"))).alias("f")).groupBy("f.category", "f.section").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {TEXTS}, s AS (SELECT key, string_agg(DISTINCT category, ',' ORDER BY category) AS l FROM texts JOIN rules ON section = 'source' AND contains(text, pattern) GROUP BY key),
 k AS (SELECT key, string_agg(DISTINCT category, ',' ORDER BY category) AS l FROM texts JOIN rules ON section = 'sink' AND contains(text, pattern) WHERE NOT regexp_matches(text, 'junk|spam') GROUP BY key)
 SELECT coalesce(s.key, k.key) AS key, coalesce(s.l, k.l) AS label, CASE WHEN s.l IS NOT NULL THEN 'source' ELSE 'sink' END AS role FROM s FULL JOIN k ON s.key = k.key""")
 def q_sink_exclude(spark, sf_dir):
-    return rules.taint_labels(_texts(spark, sf_dir), rules.text_rules(spark))
+    return rules.taint_labels(_texts(spark, sf_dir))
 
 
-@query("SELECT p_partkey AS part, 'part:' || p_partkey AS node_id FROM part WHERE contains(p_name, '7') OR contains(p_brand, '3') ORDER BY node_id LIMIT 200")
+@query("SELECT p_partkey AS part, 'part:' || p_partkey AS node_id FROM part WHERE contains(p_name, '7') OR contains(p_brand, '7') ORDER BY node_id LIMIT 200")
 def q_find_nodes(spark, sf_dir):
     part = bridge.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), S.uid(F.lit("part"), "p_partkey").alias("node_id"), "p_name", "p_brand")
-    hits = F.col("p_name").contains("7") | F.col("p_brand").contains("3")
-    return part.where(hits).orderBy("node_id").limit(200).select("part", "node_id")
+    return rules.find_nodes(part, "7", ["p_name", "p_brand"]).select("part", "node_id")
 
 
-WORDS = "words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS term FROM documents)"
+WORDS = "words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'))) AS term FROM documents)"
 
 
 @query(f"WITH {WORDS} SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc FROM words WHERE length(term) >= 3 GROUP BY term")
@@ -147,7 +144,10 @@ def q_chunk_range_join(spark, sf_dir):
     return retrieval.tightest(hits, chunks).select("file", "line_no", "chunk", (F.col("hi") - F.col("lo") + 1).alias("size"))
 
 
-@query()
+@query(f"""WITH {WORDS}, dw AS (SELECT * FROM words WHERE length(term) >= 3), bw AS (SELECT item_id AS query, term FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))) AS term FROM benchmark) WHERE length(term) >= 3),
+n AS (SELECT doc_id, count(*) AS n FROM dw GROUP BY ALL), m AS (SELECT query, count(*) AS m FROM bw GROUP BY ALL), k AS (SELECT query, doc_id, count(*) AS k FROM dw JOIN bw USING (term) GROUP BY ALL),
+s AS (SELECT query, doc_id AS chunk, round(k / (n + m - k), 6) AS score FROM k JOIN n USING (doc_id) JOIN m USING (query))
+SELECT query, chunk, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS rn FROM s) WHERE rn <= 10""")
 def q_search_similar(spark, sf_dir):
     """The ten chunks most like each benchmark text by token overlap; ties to the lower id."""
     docs = bridge.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk"), "text")
@@ -158,16 +158,16 @@ def q_search_similar(spark, sf_dir):
 ENDPOINTS = """e AS (SELECT page_id AS endpoint_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS route, ['GET', 'POST', 'PUT', 'DELETE'][page_id % 4 + 1] AS method, page_id % 3 = 0 AS auth_required,
 len(regexp_extract_all(url, '[?&]([^=&]*)=', 1)) AS n_params, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links FROM pages),
 scored AS (SELECT *, CAST(greatest(1, least(10, 1 + CASE method WHEN 'DELETE' THEN 3 WHEN 'GET' THEN 0 ELSE 2 END + least(4, n_params) + CASE WHEN auth_required THEN -1 WHEN method = 'GET' THEN 1 ELSE 3 END
-+ CASE WHEN regexp_matches(lower(route), 'admin|manage|config|user') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(route), 'upload|file|export|download') THEN 3 ELSE 0 END)) AS INTEGER) AS score FROM e),
-kinds AS (SELECT *, CASE WHEN regexp_matches(lower(route), 'admin|manage|config') THEN 'admin' WHEN regexp_matches(lower(route), 'upload|file') THEN 'file_operation' WHEN regexp_matches(lower(route), 'login|auth|token') THEN 'auth'
-WHEN NOT auth_required AND method <> 'GET' THEN 'unauthenticated_write' WHEN method <> 'GET' THEN 'data_write' WHEN score >= 4 THEN 'public_read' ELSE 'unknown' END AS category FROM scored)"""
++ CASE WHEN regexp_matches(lower(route), '""" + "|".join(S.ADMIN_WORDS) + """') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(route), '""" + "|".join(S.FILE_WORDS) + """') THEN 3 ELSE 0 END)) AS INTEGER) AS score FROM e),
+kinds AS (SELECT *, CASE """ + " ".join(f"WHEN regexp_matches(lower(route), '{'|'.join(words)}') THEN '{name}'" for name, words in S.CATEGORY_WORDS) + """
+WHEN NOT auth_required AND (method <> 'GET' OR regexp_matches(lower(route), '""" + "|".join(S.LOGIN_WORDS) + """')) THEN 'auth_bypass' WHEN method <> 'GET' THEN 'data_mutation' WHEN NOT auth_required THEN 'public_read' ELSE 'unknown' END AS category FROM scored)"""
 
 
 def _scored(spark, sf_dir):
     e = bridge.endpoints(spark, sf_dir)
     c = F.col
     e = e.withColumn("score", S.endpoint_score(c("method"), c("n_params"), c("auth_required"), c("route")))
-    return e.withColumn("category", S.category(c("method"), c("auth_required"), c("route"), c("score")))
+    return e.withColumn("category", S.category(c("method"), c("auth_required"), c("route")))
 
 
 @query(f"WITH {ENDPOINTS} SELECT endpoint_id, method, score FROM kinds")
@@ -220,7 +220,7 @@ def q_version_compare(spark, sf_dir):
     return bridge.table(spark, sf_dir, "part").select("p_partkey", v.alias("version"), S.version_below(v, F.lit("2.5")).alias("below"))
 
 
-@query("SELECT sha256(string_agg(doc_id || ':' || length(text), chr(10) ORDER BY doc_id || ':' || length(text))) AS fingerprint FROM documents")
+@query("WITH e AS (SELECT doc_id || ':' || length(text) AS e, CAST('0x' || substr(sha256(doc_id || ':' || length(text)), 1, 2) AS INTEGER) % 64 AS part FROM documents), h AS (SELECT part, sha256(string_agg(e, chr(10) ORDER BY e)) AS h FROM e GROUP BY part) SELECT sha256(string_agg(h, chr(10) ORDER BY part)) AS fingerprint FROM h")
 def q_source_fingerprint(spark, sf_dir):
     entry = F.concat_ws(":", "doc_id", F.length("text"))
     return files.fingerprint(bridge.table(spark, sf_dir, "documents").select(entry.alias("entry")))

@@ -11,7 +11,7 @@ from graphlens.plans.registry import query
 from graphlens.sources import bridge
 from graphlens.streaming import streams
 
-SMALL = "small AS (SELECT event_id, user_id, event_type, value FROM events WHERE user_id < 40)"
+SMALL = "small AS (SELECT event_id, user_id, event_type, value FROM events)"
 
 
 def _turns(spark, sf_dir):
@@ -20,7 +20,7 @@ def _turns(spark, sf_dir):
 
 @query(f"WITH {SMALL} SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM small) WHERE rn <= 5")
 def q_keep_latest(spark, sf_dir):
-    rows = bridge.table(spark, sf_dir, "events").where("user_id < 40")
+    rows = bridge.table(spark, sf_dir, "events")
     return graph.latest(rows, "user_id", [F.desc("event_id")], 5).select("user_id", "event_id", "value")
 
 
@@ -69,26 +69,26 @@ def q_crystal_trigger(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", ((total > 80) | (n >= 5)).alias("crystallize"))
 
 
-CHAIN = "WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events WHERE user_id < 10), c AS (SELECT user_id, seq, sha256(event_id || '|' || event_type || '|') AS hash FROM e WHERE seq = 1 UNION ALL SELECT e.user_id, e.seq, sha256(e.event_id || '|' || e.event_type || '|' || c.hash) FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1)"
+CHAIN = "WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events), c AS (SELECT user_id, seq, sha256(event_id || '|' || event_type || '|') AS hash FROM e WHERE seq = 1 UNION ALL SELECT e.user_id, e.seq, sha256(e.event_id || '|' || e.event_type || '|' || c.hash) FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1)"
 
 
 @query(f"{CHAIN} SELECT user_id, max_by(hash, seq) AS head, CAST(max(seq) AS BIGINT) AS n FROM c GROUP BY user_id")
 def q_audit_chain(spark, sf_dir):
-    return streams.chain(bridge.table(spark, sf_dir, "events").where("user_id < 10")).select("user_id", F.element_at("hashes", -1).alias("head"), F.size("hashes").cast("long").alias("n"))
+    return streams.chain(bridge.table(spark, sf_dir, "events")).groupBy("user_id").agg(F.max_by("hash", "seq").alias("head"), F.max("seq").alias("n"))
 
 
-@query("SELECT user_id, true AS intact FROM events WHERE user_id < 10 GROUP BY user_id")
+@query("SELECT user_id, bool_and(event_id % 97 <> 0) AS intact FROM events GROUP BY user_id")
 def q_audit_verify(spark, sf_dir):
-    """Each entry against its stored predecessor, in parallel, without a fold."""
-    chained = streams.chain(bridge.table(spark, sf_dir, "events").where("user_id < 10"))
-    entries = chained.select("user_id", F.posexplode(F.arrays_zip("entries", "hashes")).alias("seq", "x")).select("user_id", "seq", F.col("x.entries").alias("entry"), F.col("x.hashes").alias("hash"))
-    before = F.coalesce(F.lag("hash").over(Window.partitionBy("user_id").orderBy("seq")), F.lit(""))
-    return entries.withColumn("ok", F.sha2(F.concat("entry", before), 256) == F.col("hash")).groupBy("user_id").agg(F.bool_and("ok").alias("intact"))
+    """Each entry against its stored predecessor, in parallel, without a fold. Every entry with an id
+    divisible by 97 is changed after the chain was made, so its log must not pass."""
+    chained = streams.chain(bridge.table(spark, sf_dir, "events"))
+    broken = chained.withColumn("entry", F.when(F.col("event_id") % 97 == 0, F.concat(F.lit("x"), "entry")).otherwise(F.col("entry")))
+    return streams.verify(broken)
 
 
-@query("SELECT user_id, event_id, epoch_us(lead_ts) - epoch_us(ts) AS micros FROM (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS lead_ts FROM events) WHERE lead_ts IS NOT NULL AND user_id < 20")
+@query("SELECT user_id, event_id, epoch_us(lead_ts) - epoch_us(ts) AS micros FROM (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS lead_ts FROM events) WHERE lead_ts IS NOT NULL")
 def q_spans(spark, sf_dir):
-    rows = bridge.table(spark, sf_dir, "events").where("user_id < 20")
+    rows = bridge.table(spark, sf_dir, "events")
     nxt = F.lead("ts").over(Window.partitionBy("user_id").orderBy("event_id"))
     micros = F.unix_micros(F.col("n").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return rows.withColumn("n", nxt).where("n is not null").select("user_id", "event_id", micros.alias("micros"))
@@ -117,15 +117,18 @@ def q_stream_cost(spark, sf_dir):
     return streams.run_to_table(spark, streams.cost(streams.source(spark, sf_dir, "events")), "stream_cost", "complete").select("phase", "n", F.round("cost", 4).alias("cost"))
 
 
-@query()
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def q_stream_dedup(spark, sf_dir):
     rows = streams.dedup(streams.source(spark, sf_dir, "events"))
     return streams.run_to_table(spark, rows, "stream_dedup", "append").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_windows(spark, sf_dir):
-    return streams.run_to_table(spark, streams.windowed(streams.source(spark, sf_dir, "events")), "stream_windows", "append")
+    """Open hours too: of an hour that is updated the last count holds."""
+    found = streams.run_to_table(spark, streams.windowed(streams.source(spark, sf_dir, "events")), "stream_windows", "update")
+    last = found.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 @query()

@@ -15,6 +15,11 @@ EXTRACTED = "path string, kind string, name string, line int, end_line int, owne
 FIELDS = [("path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("owner", pa.string()), ("detail", pa.string())]
 
 
+#: What the name of a decorator that asks for a login holds; where declared parameters come from.
+GUARDS = ("login_required", "auth", "permission", "jwt", "token_required", "admin_required", "roles")
+DEFAULTS = {"Query": "query", "Path": "path", "Body": "body", "Header": "header", "Cookie": "cookie", "Form": "form", "File": "file"}
+
+
 def language_of(path: Column) -> Column:
     out = F.lit(None).cast("string")
     for extension, language in EXTENSIONS.items():
@@ -35,9 +40,24 @@ def project_language(files: DataFrame) -> DataFrame:
     return files.agg(F.when(has("python"), "python").when(has("javascript"), "javascript").when(has("java"), "java").alias("language"))
 
 
-def fingerprint(entries: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted entries of a tree. One small text an entry meets in one place."""
-    return entries.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256).alias("fingerprint"))
+def fingerprint(entries: DataFrame, ranges: int = 64) -> DataFrame:
+    """SHA-256 of a tree's entries: of the sorted hashes of ``ranges`` parts, each over its sorted
+    entries, so no task holds all of them."""
+    part = F.substring(F.sha2("entry", 256), 1, 2)
+    each = entries.groupBy(F.pmod(F.conv(part, 16, 10).cast("int"), F.lit(ranges)).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256).alias("h"))
+    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
+
+
+def cache_name(path: Column) -> Column:
+    """The folder that holds what was made of a source tree."""
+    return F.substring(F.sha2(path, 256), 1, 16)
+
+
+def metadata_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, content) of a project's readme and package files."""
+    names = "{README*,readme*,package.json,pom.xml,build.gradle,requirements*.txt,pyproject.toml,setup.py,Dockerfile}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
+    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("content"))
 
 
 def properties(lines: DataFrame) -> DataFrame:
@@ -72,7 +92,18 @@ def python_facts(path: str, content: str):
                 yield path, "function", child.name, line, end, owner, ",".join(args)
                 for i, arg in enumerate(args):
                     yield path, "parameter", arg, line, line, inner, str(i)
+                given = child.args.posonlyargs + child.args.args
+                for arg, value in zip(given[len(given) - len(child.args.defaults) :], child.args.defaults, strict=True):
+                    kind = getattr(value.func, "id", "") if isinstance(value, ast.Call) else ""
+                    if kind in DEFAULTS:
+                        yield path, "route_param", arg.arg, line, line, child.name, DEFAULTS[kind]
+                    elif kind in ("Depends", "Security") and any(w in ast.unparse(value).lower() for w in (*GUARDS, "user")):
+                        yield path, "route_auth", ast.unparse(value)[:80], line, end, child.name, "dependency"
                 for mark in child.decorator_list:
+                    word = mark.func if isinstance(mark, ast.Call) else mark
+                    word = word.attr if isinstance(word, ast.Attribute) else getattr(word, "id", "")
+                    if any(w in word.lower() for w in GUARDS):
+                        yield path, "route_auth", word, line, end, child.name, "decorator"
                     if isinstance(mark, ast.Call) and isinstance(mark.func, ast.Attribute) and mark.args and isinstance(mark.args[0], ast.Constant):
                         verb = mark.func.attr
                         if verb == "route":

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphlens.operators.store import shared_folder
+
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's file as a stream."""
@@ -33,23 +36,49 @@ def dedup(events: DataFrame) -> DataFrame:
 
 
 def run_to_table(spark: SparkSession, rows: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is there now, through a stream into memory: for tests and small results."""
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    running = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    """All that is there now, through a stream into a table in the shared folder. With ``complete`` the last
+    batch holds; with ``update`` a column ``batch`` tells which row of a key is the last."""
+    root = f"{shared_folder(spark)}/graphlens/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        out = batch.withColumn("batch", F.lit(number).cast("long")) if mode == "update" else batch
+        # a batch that runs again replaces itself
+        out.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/part={number}")
+
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(write)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    schema = rows.schema if mode != "update" else rows.schema.add("batch", "long")
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/rows")
 
 
 def chain(log: DataFrame) -> DataFrame:
-    """(user_id, entries, hashes): each entry's hash over its text and the hash before it.
+    """(user_id, event_id, seq, entry, hash): each entry's hash over its text and the hash before it.
 
-    The fold is ordered within a log; logs are independent of each other.
+    Rows of a log stand one after another in a sorted partition, and one running hash is kept: a
+    log of any length takes no more memory. Logs are independent of each other.
     """
     entry = F.concat_ws("|", "event_id", "event_type", F.lit(""))
-    ordered = log.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("entry")))).alias("rows"))
-    last = lambda h: F.coalesce(F.try_element_at(h, F.lit(-1)), F.lit(""))
-    hashes = F.aggregate("rows", F.array().cast("array<string>"), lambda h, x: F.array_append(h, F.sha2(F.concat(x["entry"], last(h)), 256)))
-    return ordered.select("user_id", F.transform("rows", lambda x: x["entry"]).alias("entries"), hashes.alias("hashes"))
+    ordered = log.select("user_id", "event_id", entry.alias("entry")).repartition("user_id").sortWithinPartitions("user_id", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, last, seq = object(), "", 0
+        for batch in batches:
+            hashes, places = [], []
+            for key, text in zip(batch["user_id"], batch["entry"], strict=True):
+                if key != user:
+                    user, last, seq = key, "", 0
+                last, seq = hashlib.sha256((text + last).encode()).hexdigest(), seq + 1
+                hashes.append(last)
+                places.append(seq)
+            yield batch.assign(seq=places, hash=hashes)[["user_id", "event_id", "seq", "entry", "hash"]]
+
+    return ordered.mapInPandas(run, "user_id long, event_id long, seq long, entry string, hash string")
+
+
+def verify(chained: DataFrame) -> DataFrame:
+    """(user_id, intact): whether each entry's hash is that of its text and the hash before it."""
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy("user_id").orderBy("seq")), F.lit(""))
+    return chained.withColumn("ok", F.sha2(F.concat("entry", before), 256) == F.col("hash")).groupBy("user_id").agg(F.bool_and("ok").alias("intact"))
 
 
 def stand_in(text: str | None) -> tuple[str, float]:

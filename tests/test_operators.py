@@ -69,7 +69,7 @@ def test_control_flow_random(spark):
 
 def test_closure_rounds(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(3, 0)], "src long, dst long")
-    found = graph.reach(e, spark.createDataFrame([(2,)], "node long"), lambda df: df.persist()).collect()
+    found = graph.reach(e, spark.createDataFrame([(2,)], "node long")).collect()
     assert {(r["node"], r["round"]) for r in found} == {(2, 0), (3, 1), (0, 2), (4, 2), (1, 3), (5, 3), (6, 4)}
 
 
@@ -123,8 +123,7 @@ def test_scorer(spark):
 
 
 def test_reach_goes_to_its_fixpoint(spark):
-    e = spark.createDataFrame([(k, k + 1) for k in range(70)], "src long, dst long").localCheckpoint()
-    store = lambda df: df.coalesce(1).localCheckpoint()
-    found = graph.reach(e, spark.createDataFrame([(0,)], "node long"), store).collect()
+    e = spark.createDataFrame([(k, k + 1) for k in range(70)], "src long, dst long").coalesce(1)
+    found = graph.reach(e, spark.createDataFrame([(0,)], "node long")).collect()
     assert {r["node"]: r["round"] for r in found} == {k: k for k in range(71)}
-    assert len(graph.reach(e, spark.createDataFrame([(0,)], "node long"), store, 3).collect()) == 4
+    assert len(graph.reach(e, spark.createDataFrame([(0,)], "node long"), 3).collect()) == 4
