@@ -50,6 +50,8 @@ def joined(groups: DataFrame, links: DataFrame, scratch: Scratch, tag: str) -> D
 
 
 Side = Callable[[str], Column]
+#: Members of several groups in a bucket; fuller ones are split by further keys before pairs are made.
+FULL = 256
 
 
 def link_through_buckets(
@@ -58,6 +60,10 @@ def link_through_buckets(
     near: Callable[[Side, Side], Column],
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
+    marks: Callable[[], DataFrame],
+    alike: Callable[[Side, Side], Column],
+    resplit: Callable[[DataFrame], DataFrame],
+    closeness: Callable[[Side, Side], Column] | None = None,
     given: DataFrame | None = None,
     spent: str = "",
     prepare: Callable[[DataFrame], None] | None = None,
@@ -65,16 +71,21 @@ def link_through_buckets(
     """(id, root) of the groups that the links between members of a bucket make.
 
     ``postings``: (key, id, *items), an id in many buckets. ``near`` is a cheap necessary
-    condition on two rows' items, ``verify`` keeps the true links of a table (a, b).
-    ``given``: links (a, b) that need no bucket. ``spent``: a table of ``scratch`` to drop once
-    the postings are stored. ``prepare`` is told the ids (id, repeated) that may be verified.
+    condition on two rows' items, ``alike`` one on the columns that ``marks`` gives (id, ...); ``verify``
+    keeps the true links of a table (a, b). ``resplit`` deals the rows of full buckets (key, id, root,
+    members, *items and the marks) to smaller ones. ``given``: links (a, b) that need no bucket. ``prepare`` is told the ids (id,
+    repeated) that may be verified once the postings are stored; then ``spent``, a table of
+    ``scratch``, goes.
 
     Each bucket's pivot is its least row by items and id; a bucket of two that are not near
     has no pair and goes. First an id is held against one pivot, that of most of its
-    buckets, which joins large groups of like members in one linear pass. Then the
-    least group of each bucket is held against the others there, by two pairs for two groups:
-    large groups that no pivot joined become one. Then only pairs whose groups still differ meet,
-    with ``near`` inside the join: every link that could join two groups is tried.
+    buckets, which joins large groups of like members in one linear pass. Then, in turns, a member
+    of each bucket drawn by hash is held against those of other groups there, by two pairs for two
+    groups: large groups that no pivot joined become one. Turns end when the pairs of groups left are
+    no more than the rows, or a turn leaves seven in ten of them. Then all pairs whose groups
+    still differ meet, with ``near`` and ``alike`` inside the join and full buckets split. Without
+    ``closeness`` every link that could join two groups is tried. With it, a measure of how far two
+    rows are apart, two groups are held against each other by their closest pair.
     """
     own: Side = F.col
     at = lambda row: lambda c: F.col(f"{row}.{c}")
@@ -83,12 +94,12 @@ def link_through_buckets(
     pivots = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min(row).alias("pivot"), F.max(row).alias("last"))
     pivots = pivots.where("members > 1").where((F.col("members") > 2) | near(at("pivot"), at("last")))
     shared = scratch.table(dealt.join(pivots.select("key", "pivot"), "key"), "postings")
-    if spent:
-        scratch.drop(spent)
     scratch.tidy()
     if prepare:
         prepare(shared.select("id"))
-        scratch.tidy()
+    if spent:
+        scratch.drop(spent)
+    scratch.tidy()
     fits = (F.col("pivot.id") != F.col("id")) & near(at("pivot"), own)
     votes = shared.where(fits).groupBy("id", F.col("pivot.id").alias("a")).agg(F.count("*").alias("n"))
     first = votes.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("n", "a")).alias("most")).select("most.a", "b")
@@ -96,26 +107,44 @@ def link_through_buckets(
     links = scratch.table(links if given is None else links.unionByName(given), "links-pivot")
     groups = scratch.table(connected(links, scratch, "groups-pivot"), "groups")
 
-    def split(rows: DataFrame, tag: str, spent: str) -> DataFrame:
-        """(key, id, *items, root): the buckets of several groups."""
-        placed = scratch.table(rows.select("key", "id", *items).join(groups, "id", "left").withColumn("root", F.coalesce("root", "id")), f"{tag}-all")
+    def split(rows: DataFrame, tag: str, spent: str, more: DataFrame | None = None) -> DataFrame:
+        """(key, id, *items, root, members) with the columns of ``more``: the buckets of several groups."""
+        placed = rows.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        placed = scratch.table(placed if more is None else placed.join(more, "id"), f"{tag}-all")
         scratch.drop(spent)
-        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        placed = scratch.table(placed.join(several, "key", "left_semi"), tag)
+        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
+        placed = scratch.table(placed.join(several, "key"), tag)
         scratch.drop(f"{tag}-all")
         scratch.tidy()
         return placed
 
-    rows = split(shared, "split-1", "postings")
-    lead = rows.groupBy("key").agg(F.min(F.struct("root", *items, "id")).alias("lead"))
-    fits = (F.col("lead.root") != F.col("root")) & near(at("lead"), own)
-    two = rows.join(lead, "key").where(fits).groupBy("lead.root", "root").agg(*(f(F.struct(F.col("lead.id").alias("a"), F.col("id").alias("b"))).alias(f.__name__) for f in (F.min, F.max)))
-    two = two.select(F.explode(F.array("min", "max")).alias("pair")).select("pair.*").distinct()
-    groups = joined(groups, scratch.table(verify(two), "links-lead"), scratch, "groups-lead")
-    rows = split(rows, "split-2", "split-1")
-    one, two = (rows.select(F.struct("*").alias(x)) for x in ("x", "y"))
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near(at("x"), at("y"))
-    pairs = one.join(two, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    def spread(rows: DataFrame) -> int:
+        """Pairs of groups that meet in the buckets."""
+        held = rows.select("key", "root").distinct().groupBy("key").agg(F.count("*").alias("g"))
+        return held.agg(F.sum(F.expr("g * (g - 1) div 2"))).first()[0] or 0
+
+    rows = split(shared.select("key", "id", *items), "split-0", "postings", marks())
+    left, turn = spread(rows), 0
+    while left > 2 * rows.count():
+        lead = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "root", "id", *[c for c in rows.columns if c not in ("key", "id", "root", "members")])).alias("lead"))
+        fits = (F.col("lead.root") != F.col("root")) & near(at("lead"), own) & alike(at("lead"), own)
+        two = rows.join(lead, "key").where(fits).groupBy("lead.root", "root").agg(*(f(F.struct(F.col("lead.id").alias("a"), F.col("id").alias("b"))).alias(f.__name__) for f in (F.min, F.max)))
+        two = two.select(F.explode(F.array("min", "max")).alias("pair")).select("pair.*").distinct()
+        groups = joined(groups, scratch.table(verify(two), f"links-lead-{turn}"), scratch, f"groups-lead-{turn}")
+        rows, turn = split(rows.drop("root", "members"), f"split-{turn + 1}", f"split-{turn}"), turn + 1
+        before, left = left, spread(rows)
+        if 10 * left > 7 * before:
+            break
+    full = resplit(rows.where(F.col("members") > FULL))
+    rows = rows.where(F.col("members") <= FULL).drop("members").unionByName(full.drop("members"))
+    one, two = (rows.select(F.col("key").alias(f"{x}_key"), F.struct("*").alias(x)) for x in ("x", "y"))
+    meet = (F.col("x_key") == F.col("y_key")) & (F.col("x.root") < F.col("y.root")) & near(at("x"), at("y")) & alike(at("x"), at("y"))
+    met = one.join(two, meet)
+    if closeness is None:
+        pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    else:
+        pair = F.struct(closeness(at("x"), at("y")).alias("far"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        pairs = met.groupBy("x.root", F.col("y.root").alias("other")).agg(F.min(pair).alias("p")).select("p.a", "p.b")
     rest = scratch.table(verify(pairs), "links-rest")
-    scratch.drop("split-2")
+    scratch.drop(f"split-{turn}")
     return joined(groups, rest, scratch, "groups-final")

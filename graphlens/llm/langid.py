@@ -7,13 +7,14 @@ narrow margin to the second rejects: the row is marked, its score is low.
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the language
 with more labelled documents, then the first by name. If no language can be learned all
-rows are ``und``. Repeated rows are judged alike. Only id, text and lang are read.
+rows are ``und``; an empty table gives no rows. Very long texts are encoded whole, a block at a time.
+Repeated rows are judged alike. Only id, text and lang are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.llm.common import arrow_map
@@ -39,13 +40,18 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes
     language, the texts with the smallest hashes of their ids.
     """
     usable = documents.where("lang is not null and text is not null and doc_id is not null")
-    langs = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
-    chosen: list[int] = []
-    for lang in langs:
-        chosen += [r[0] for r in usable.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
-    rows = usable.where(F.col("doc_id").isin(chosen)).select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")) if chosen else None
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    langs = sorted(counts, key=lambda x: (-counts[x], x))
+    if not langs:
+        return []
+    # one pass: hashes below a cut that lets through twice the sample, then its smallest
+    cuts = [(x, 2**63 - 1 if 2 * sample_docs >= n else int(2**64 * 2 * sample_docs / n) - 2**63) for x, n in counts.items()]
+    cuts = documents.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    chosen = usable.join(F.broadcast(cuts), "lang").where(F.xxhash64("doc_id") <= F.col("cut")).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rank") <= sample_docs)
+    rows = ranked.orderBy("lang", "rank").collect()
     texts: dict[str, list] = {}
-    for r in rows.dropDuplicates(["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect() if rows is not None else []:
+    for r in rows:
         texts.setdefault(r["lang"], []).append(r["text"].lower().encode())
     out = []
     for lang in langs:

@@ -4,9 +4,11 @@ Documents with equal sets form a class; classes are joined. A prefix of a set, l
 that two linked sets must share a token of it, is taken under each of three global orders.
 All orders put common tokens last, by a sketch of the document frequencies of all shingles,
 and break ties by different hashes. Pairs must share a prefix token under every order
-before their whole sets are compared. Counts of each set's shingles in ``PARTS`` parts bound
-what two sets can share: the sum of their differences is at most the number of shingles that
-only one of the two has, so pairs beyond the limit go without a look at their texts.
+before their whole sets are compared: inside the join where buckets are full or hold several
+groups, else right after it. Odd sketches bound what two sets can share: a bit for each part of
+the hashes, set if an odd number of a set's shingles fall there, differs in two sets at most once
+for each shingle that only one of them has, so pairs beyond the limit go without a look at
+their texts.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; a set holds 64-bit hashes of the
 distinct shingles (of all words, if fewer than a shingle has). Null, empty and wordless texts
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import Scratch, arrow_map, id_bitmap, in_bitmap
+from graphlens.llm.common import Scratch, arrow_map, id_bitmap, in_bitmap, without
 from graphlens.llm.components import link_through_buckets
 
 #: Counters of the sketch: a fixed size, so that it can be broadcast.
 SKETCH = 1 << 18
-#: Parts of a set whose sizes are kept.
-PARTS = 64
+#: Bits of every set's short odd sketch, and bounds of those of the long one, which has a bit or more
+#: for each shingle between them.
+ODD, NARROWEST, WIDEST = 256, 1024, 1 << 20
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -105,10 +108,23 @@ def prefix(found: np.ndarray, level: np.ndarray, order: int, length: int) -> np.
     return found[np.argpartition(key, length - 1)[:length]] if length < len(found) else found
 
 
+def odd_sketch(found: np.ndarray, bits: int) -> bytes:
+    """A bit for each part of the hashes: whether an odd number of ``found`` falls there."""
+    slots = (found >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the shorter one's size."""
+    a, b = (np.frombuffer(s, dtype=np.uint8) for s in sorted((x, y), key=len))
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, set, rare, mass, p1, p2, p3): size and fingerprint of each set, how many of its
-    shingles are not common, the sizes of its parts, and its prefixes under the orders (the latter two as 16-bit hashes,
-    which can only add candidates)."""
+    """(row, doc_id, n, set, rare, o1, o2, o3, o4, wide, p1, p2, p3): size and fingerprint of each set,
+    how many of its shingles are not common, its odd sketches, and its prefixes under the orders
+    (the latter two as 16-bit hashes, which can only add candidates)."""
     shared = documents.sparkSession.sparkContext.broadcast(level)
 
     def make():
@@ -118,25 +134,30 @@ def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int)
         short = lambda x: np.unique(x >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
 
         def step(columns: list) -> list:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(12)]
             for key, text in zip(*columns, strict=True):
                 found = shingles(text, size, known)
                 p = prefix_length(len(found), percent) if len(found) else 0
                 own = level[_slot(found)]
                 one, two, three = (prefix(found, own, k, p) for k in range(3))
-                mass = np.minimum(np.bincount((found >> np.uint64(32) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16)
-                values = (key, len(found), xxhash.xxh3_128_digest(found.tobytes()), int((own == 0).sum()), mass, one.view(np.int64), short(two), short(three))
+                wide = odd_sketch(found, min(WIDEST, max(NARROWEST, 1 << len(found).bit_length())))
+                odd = np.frombuffer(odd_sketch(found, ODD), dtype=np.int64).tolist()
+                values = (key, len(found), xxhash.xxh3_128_digest(found.tobytes()), int((own == 0).sum()), *odd, wide, one.view(np.int64), short(two), short(three))
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
             return out
 
         return step
 
-    return arrow_map(
-        documents.select("doc_id", F.col("text").cast("binary")), make,
-        "doc_id long, n long, set binary, rare long, mass array<short>, p1 array<long>, p2 array<short>, p3 array<short>",
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("rare", pa.int64()), ("mass", pa.list_(pa.int16())), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int16())), ("p3", pa.list_(pa.int16()))],
-    )
+    kinds = {"doc_id": "long", "n": "long", "set": "binary", "rare": "long", "o1": "long", "o2": "long", "o3": "long", "o4": "long", "wide": "binary", "p1": "array<long>", "p2": "array<short>", "p3": "array<short>"}
+    types = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<short>": pa.list_(pa.int16())}
+    rows = arrow_map(documents.select("doc_id", F.col("text").cast("binary")), make, ", ".join(f"{c} {k}" for c, k in kinds.items()), [(c, types[k]) for c, k in kinds.items()])
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
+def within(percent: int, differ, total):
+    """Whether two sets of ``total`` shingles together that differ in ``differ`` at least can be similar enough."""
+    return differ * (100 + percent) <= total * (100 - percent)
 
 
 def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -164,14 +185,22 @@ def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: int, percent: int, store: Scratch) -> DataFrame:
-    """The pairs (a, b) that share prefix tokens under the other orders and whose whole sets
-    are similar enough. ``signed``: (id, n, mass, p2, p3)."""
-    side = lambda i, x: signed.select(F.col("id").alias(i), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "mass", "p2", "p3")))
-    apart = F.aggregate(F.zip_with("x_mass", "y_mass", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
-    alike = F.arrays_overlap("x_p2", "y_p2") & F.arrays_overlap("x_p3", "y_p3") & (apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent))
-    pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(alike)
-    tag = f"{uuid.uuid4().hex}"
-    pairs = store.table(pairs.select("a", "b").distinct(), f"pairs-{tag}")
+    """The pairs (a, b) that share prefix tokens under the other orders, pass the sketches and whose
+    whole sets are similar enough. ``signed``: (id, n, wide, p2, p3)."""
+    side = lambda i, x: signed.select(F.col("id").alias(i), F.struct("n", "wide", "p2", "p3").alias(x))
+
+    def closer():
+        def step(columns: list) -> list:
+            near = [(a, b) for a, b, total, x, y in zip(*columns, strict=True) if within(percent, apart(x, y), total)]
+            return [[p[0] for p in near], [p[1] for p in near]]
+
+        return step
+
+    ends, tag = [("a", pa.int64()), ("b", pa.int64())], f"pairs-{uuid.uuid4().hex}"
+    shared = F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")
+    pairs = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(shared)
+    pairs = arrow_map(pairs.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("total"), F.col("x.wide").alias("w"), F.col("y.wide").alias("v")), closer, "a long, b long", ends)
+    pairs = store.table(pairs, tag)
 
     def compare():
         import zstandard
@@ -197,7 +226,7 @@ def verified(pairs: DataFrame, signed: DataFrame, documents: DataFrame, size: in
     # texts go from the scan into the joins and are not stored; those of the pivots are fewer
     near, pivot = (texts_of(documents, pairs.select(F.col(c).alias("id")).distinct()) for c in ("b", "a"))
     joined = pairs.join(near.select(F.col("id").alias("b"), F.col("t").alias("y")), "b").join(pivot.select(F.col("id").alias("a"), F.col("t").alias("x")), "a")
-    return arrow_map(joined.select("a", "b", "x", "y"), compare, "a long, b long", [("a", pa.int64()), ("b", pa.int64())])
+    return arrow_map(joined.select("a", "b", "x", "y"), compare, "a long, b long", ends)
 
 
 def groups(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -210,37 +239,49 @@ def groups(documents: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     store = Scratch(documents.sparkSession, "ngram-join")
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = store.table(signatures(documents, levels(sketch(documents, size)), size, percent), "signatures")
-    # a class is a set; the least id of its documents stands for it
-    whole = F.struct("doc_id", "n", "rare", "mass", "p1", "p2", "p3")
-    heads = store.table(
-        signed.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min_by(whole, "doc_id").alias("h")).select("set", F.col("h.doc_id").alias("id"), "h.n", "h.rare", "h.mass", "h.p1", "h.p2", "h.p3"),
-        "heads",
-    )
+    # a class is a set; the first row of the least id among its documents stands for it
+    full = signed.where("n > 0 and doc_id is not null").select("row", "doc_id", "set")
+    classes = store.table(full.groupBy("set").agg(F.min(F.struct("doc_id", "row")).alias("h")).select("set", F.col("h.doc_id").alias("id"), "h.row"), "classes")
+    others = store.table(full.join(classes.select("set", F.col("row").alias("head")), "set").where("row <> head").select("row"), "others")
+    heads = without(signed.where("n > 0 and doc_id is not null"), F.col("row"), others).withColumnRenamed("doc_id", "id")
+    several = full.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("doc_id")
+    same = full.select("doc_id", "set").join(several, "doc_id", "left_semi").join(classes.select("set", "id"), "set").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    same = store.table(same.where("a <> b").distinct(), "same")
     rows = store.table(signed.select("doc_id", "n", "set"), "rows")
-    store.drop("signatures")
-    store.tidy()
-    classes = store.table(heads.select("set", "id"), "classes")
-    full = rows.where("n > 0 and doc_id is not null")
+    made = []
+
+    def prepare(ids: DataFrame) -> None:
+        made.append(store.table(heads.select("id", "n", "o1", "o2", "o3", "o4", "wide", "p2", "p3"), "marks"))
+
     # size and how common the shingles are, in one number that orders pivots by the latter
-    marks = store.table(heads.select("id", "n", "mass", "p2", "p3"), "marks")
     postings = heads.select(F.explode("p1").alias("key"), "id", F.shiftleft("rare", 32).bitwiseOR(F.col("n")).alias("item"))
+    count = lambda side: side("item").bitwiseAND(F.lit(2**32 - 1))
 
     def near(x, y):
-        n, m = (side("item").bitwiseAND(F.lit(2**32 - 1)) for side in (x, y))
+        n, m = count(x), count(y)
         return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
-    several = full.groupBy("doc_id").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo <> hi").select("doc_id")
-    same = full.select("doc_id", "set").join(several, "doc_id", "left_semi").join(classes.select("set", "id"), "set").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = link_through_buckets(postings, ["item"], near, lambda pairs: verified(pairs, marks, documents, size, percent, store), store, same, "heads")
+    def alike(x, y):
+        differ = sum((F.bit_count(x(o).bitwiseXOR(y(o))) for o in ("o2", "o3", "o4")), F.bit_count(x("o1").bitwiseXOR(y("o1"))))
+        return within(percent, differ, count(x) + count(y))
+
+    def resplit(full: DataFrame) -> DataFrame:
+        """By the prefix tokens of the second order: a linked pair shares one of them too."""
+        return full.join(made[0].select("id", "p2"), "id").withColumn("key", F.explode(F.transform("p2", lambda t: F.xxhash64("key", t)))).drop("p2")
+
+    found = link_through_buckets(
+        postings, ["item"], near, lambda pairs: verified(pairs, made[0].select("id", "n", "wide", "p2", "p3"), documents, size, percent, store), store,
+        lambda: made[0].select("id", "o1", "o2", "o3", "o4"), alike, resplit, given=same, spent="signatures", prepare=prepare,
+    )
     roots = classes.join(found, "id", "left").select("set", F.coalesce("root", "id").alias("component_id"))
-    return rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(roots, "set", "left").select(
+    out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set")).alias("set")).join(roots, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+    return store.keep(out, "found")
 
 
 def representatives(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group, that of the least id; all columns kept. Of rows
     of equal id and group all stay; rows without an id stay."""
-    found = groups(documents, size, percent)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = groups(documents, size, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return without(documents, F.col("doc_id").cast("long"), gone)

@@ -3,22 +3,25 @@
 Lengths alone decide how items go together, so the plan is made for the histogram of
 lengths: at most ``capacity`` - 1 counts, whatever the corpus. Best-fit decreasing makes
 kinds of bins with multiplicities, then a swap-based local search exchanges items between
-underfull kinds. Items find their places by rank among those of their length.
+underfull kinds until no exchange gains. Items find their places by rank among those of their
+length; whole pieces of ``capacity`` are a sequence each and need no rank.
 
-Null and empty texts are one token (the end mark). Repeated rows are packed each. Only id
-and text are read. An empty table gives no rows.
+Null and empty texts are one token (the end mark). Very long texts are cut, not shortened.
+Repeated rows, and rows without an id, are packed each. Only id and text are read, whatever
+the other columns are called. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.llm.common import Scratch, arrow_map
@@ -26,34 +29,40 @@ from graphlens.llm.common import Scratch, arrow_map
 CAPACITY = 2048
 #: Ids kept for words that were seen; beyond so many the cache starts anew.
 CACHED = 300_000
+#: Rows of one length that a task ranks.
+RANKED = 200_000
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 16-bit bytes.
+    """Token ids as little-endian unsigned 32-bit bytes.
 
     A byte-level BPE never merges across the space before a word, so text is encoded
     word by word through a cache. A space opens a new word only where a character that is
-    not white space follows; other white space stays with the word before it.
+    not white space follows; other white space stays with the word before it. The
+    vocabulary's added tokens are cut out of the text first, as they match anywhere.
     """
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path(vocabulary), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        from tokenizers import Tokenizer
+
+        path = public_tokenizers.path(vocabulary)
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = {x["content"]: np.asarray([x["id"]], dtype="<u4").tobytes() for x in added}
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.known: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         if len(self.known) >= CACHED:
             self.known.clear()
-        ids = np.asarray(self.bpe.encode_ordinary(word), dtype="<u2").tobytes()
+        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) < 64:
             self.known[word] = ids
         return ids
 
-    def __call__(self, text: str) -> bytes:
+    def _plain(self, text: str) -> bytes:
         words = text.split(" ")
         merged = [words[0]]
         for word in words[1:]:
@@ -64,8 +73,13 @@ class Encoder:
         known = self.known
         return b"".join([known[w] if w in known else self._word(w) for w in merged])
 
+    def __call__(self, text: str) -> bytes:
+        if self.cut is None or not any(x in text for x in self.added):
+            return self._plain(text)
+        return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(self.cut.split(text)))
+
 
-def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.json", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end mark 0,
     cut into pieces of ``capacity`` of which only the first may be shorter."""
 
@@ -75,7 +89,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = "by
         def step(columns: list) -> list:
             out: list[list] = [[], [], [], [], []]
             for key, text in zip(*columns, strict=True):
-                ids = np.frombuffer(encode(text or "") + b"\0\0", dtype="<u2").astype("<u4")
+                ids = np.frombuffer(encode(text or "") + b"\0\0\0\0", dtype="<u4")
                 first = (len(ids) - 1) % capacity + 1
                 for k, start in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[start : first if not k else start + capacity]
@@ -135,43 +149,102 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return sum(room.values(), Counter())
 
 
-def improve(bins: Counter, capacity: int, steps: int = 4_000) -> Counter:
+class _Underfull:
+    """The underfull kinds of bins, found by a length or by the sum of two that they hold."""
+
+    def __init__(self, bins: Counter, capacity: int):
+        self.bins, self.capacity = bins, capacity
+        self.fills: dict[tuple, int] = {}
+        self.places: tuple[dict[int, set], dict[int, set]] = ({}, {})  # kinds by length, and by sum of two
+        self.sizes: tuple[list[int], list[int]] = ([], [])  # their keys, sorted
+        for kind in bins:
+            self.add(kind)
+
+    @staticmethod
+    def parts(kind: tuple) -> tuple[set[int], dict[int, tuple[int, int]]]:
+        one = sorted(set(kind))
+        return set(one), {a + b: (a, b) for i, a in enumerate(one) for b in one[i:] if a != b or kind.count(a) > 1}
+
+    def add(self, kind: tuple) -> None:
+        fill = sum(kind)
+        if fill >= self.capacity or kind in self.fills:
+            return
+        self.fills[kind] = fill
+        for places, sizes, found in zip(self.places, self.sizes, self.parts(kind), strict=True):
+            for x in found:
+                if x not in places:
+                    places[x] = set()
+                    insort(sizes, x)
+                places[x].add(kind)
+
+    def remove(self, kind: tuple) -> None:
+        if self.fills.pop(kind, None) is None:
+            return
+        for places, sizes, found in zip(self.places, self.sizes, self.parts(kind), strict=True):
+            for x in found:
+                places[x].discard(kind)
+                if not places[x]:
+                    del places[x]
+                    sizes.pop(bisect_left(sizes, x))
+
+    def giver(self, which: int, low: int, high: int, to: tuple, fill: int) -> tuple[int, tuple] | None:
+        """The largest size in (low, high] that a kind no fuller than ``to`` holds, and that kind."""
+        sizes, places = self.sizes[which], self.places[which]
+        for at in range(bisect_right(sizes, high) - 1, bisect_right(sizes, low) - 1, -1):
+            fine = [k for k in places[sizes[at]] if self.fills[k] <= fill and (k != to or self.bins[k] > 1)]
+            if fine:
+                return sizes[at], min(fine, key=lambda k: (self.fills[k], k))
+        return None
+
+    def exchange(self, to: tuple):
+        """(gives, from it, back to it): of a move, a swap of one for one, two for one or one for two
+        that raise the fill of ``to`` by what a bin no fuller loses, the one that raises it most."""
+        fill = self.fills[to]
+        gap, best, found = self.capacity - fill, 0, None
+        one, two = self.parts(to)
+        options = [(0, 0, ())] + [(0, b, (b,)) for b in one] + [(1, b, (b,)) for b in one] + [(0, b, pair) for b, pair in two.items()]
+        for which, back, items in options:
+            if best < gap and (hit := self.giver(which, back + best, back + gap, to, fill)):
+                size, kind = hit
+                best, found = size - back, (kind, (size,) if not which else self.parts(kind)[1][size], items)
+        return found
+
+
+def improve(bins: Counter, capacity: int) -> Counter:
     """Swap-based local search between underfull kinds of bins.
 
-    Moves a document, or exchanges one for one or two for one, where that raises the sum of
-    squared fills, until bins run empty or nothing more is gained. Two kinds change as many
-    bins as both have. Ends when the number of bins reaches the lower bound.
+    Moves a document, or exchanges one for one, two for one or one for two, from a bin no fuller to
+    another: the sum of squared fills rises with each. Two kinds change as many bins as both have.
+    Every underfull kind is on a list of work, and again when a kind comes about, until no exchange
+    between any two of them gains or the number of bins is the least that the total allows.
     """
     bins = Counter(bins)
-    total = sum(sum(k) * n for k, n in bins.items())
-    least = -(-total // capacity)
-    for _ in range(steps):
-        if sum(bins.values()) <= least:
-            break
-        under = sorted((k for k in bins if sum(k) < capacity), key=lambda k: (sum(k), k))
-        if len(under) < 2 and all(bins[k] < 2 for k in under):
-            break
-        low = under[0]  # the emptiest gives to the others
-        done = False
-        for high in sorted(under, key=lambda k: (-sum(k), k)):
-            if high == low and bins[low] < 2:
-                continue
-            gap = capacity - sum(high)
-            swap = _exchange(low, high, gap)
-            if swap is None:
+    least = -(-sum(sum(k) * n for k, n in bins.items()) // capacity)
+    under = _Underfull(bins, capacity)
+    work, count = sorted(under.fills, key=lambda k: (under.fills[k], k)), sum(bins.values())
+    while count > least:
+        if not work:  # kinds that gained nothing may do so from those that came later
+            work = sorted((k for k in under.fills if under.exchange(k)), key=lambda k: (under.fills[k], k))
+            if not work:
+                break
+        high = work.pop()  # the fullest takes from the others
+        if high not in under.fills or (swap := under.exchange(high)) is None:
+            continue
+        low, out, back = swap
+        n = bins[low] // 2 if high == low else min(bins[low], bins[high])
+        new_low, new_high = _replace(low, out, back), _replace(high, back, out)
+        for kind, change in ((low, -n), (high, -n), (new_low, n), (new_high, n)):
+            if not kind:
+                count -= n
                 continue
-            n = bins[low] // 2 if high == low else min(bins[low], bins[high])
-            out, back = swap
-            new_low, new_high = _replace(low, out, back), _replace(high, back, out)
-            for kind, change in ((low, -n), (high, -n), (new_low, n), (new_high, n)):
-                if kind:
-                    bins[kind] += change
-                    if not bins[kind]:
-                        del bins[kind]
-            done = True
-            break
-        if not done:
-            break
+            bins[kind] += change
+            if not bins[kind]:
+                del bins[kind]
+                under.remove(kind)
+            else:
+                under.add(kind)
+                if kind in under.fills:
+                    work.append(kind)
     return bins
 
 
@@ -182,22 +255,6 @@ def _replace(kind: tuple, out: tuple, into: tuple) -> tuple:
     return tuple(sorted(items + list(into)))
 
 
-def _exchange(low: tuple, high: tuple, gap: int):
-    """(from low, from high) with the largest rise of ``high``'s fill that fits its gap."""
-    mine, theirs = sorted(set(low)), sorted(set(high))
-    pairs = [(a, b) for i, a in enumerate(mine) for b in mine[i:] if a != b or low.count(a) > 1]
-    best, found = 0, None
-    options = [((a,), ()) for a in mine]
-    options += [((a,), (b,)) for a in mine for b in theirs if a > b]
-    options += [((a, b), (c,)) for a, b in pairs for c in theirs if a + b > c]
-    options += [((a,), (c, d)) for i, c in enumerate(theirs) for d in theirs[i:] if c != d or high.count(c) > 1 for a in mine if a > c + d]
-    for out, back in options:
-        rise = sum(out) - sum(back)
-        if best < rise <= gap:
-            best, found = rise, (out, back)
-    return found
-
-
 def layout(bins: Counter) -> dict[int, tuple[np.ndarray, list[tuple[int, int, list[int]]]]]:
     """By length: first ranks of the runs of slots, and for each run its first sequence, how
     many slots of that length a bin has, and their offsets."""
@@ -217,29 +274,31 @@ def layout(bins: Counter) -> dict[int, tuple[np.ndarray, list[tuple[int, int, li
     return {k: (np.array([r[0] for r in runs]), [(b, len(p), p) for _, b, p in runs]) for k, runs in slots.items()}
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", salts: int = 32) -> DataFrame:
-    """The pieces with sequence_id and offset; sequences hold at most ``capacity`` ids."""
+def pack(documents: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """The pieces with sequence_id and offset; sequences hold at most ``capacity`` ids.
+
+    The rows of a length are dealt to as many parts as they need to be ranked in tasks of ``RANKED``
+    rows, so a length that a third of all documents have is no single task.
+    """
     spark, store = documents.sparkSession, Scratch(documents.sparkSession, "packing")
-    rows = store.table(pieces(documents, capacity, id_column=id_column, text_column=text_column), "pieces")
-    # rank among items of one length: salted, so that a common length is dealt over many tasks
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(id_column, "piece"), F.lit(salts)).cast("int"))
-    sizes = rows.groupBy("length", "salt").count().collect()  # at most capacity x salts rows
-    counts: Counter = Counter()
-    before: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted(sizes):
-        before[length, salt] = counts[length]
-        counts[length] += n
-    plan = layout(improve(best_fit(counts, capacity), capacity))
-    table = spark.createDataFrame([(k[0], k[1], v) for k, v in before.items()], "length long, salt int, first long") if before else None
-    if table is None:
-        return rows.drop("salt").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("length", "salt").orderBy(id_column, "piece", "start", "ids_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(table), ["length", "salt"])
     names = [id_column, "piece", "start", "length", "ids_crc32"]
+    rows = store.table(pieces(documents, capacity, vocabulary, id_column, text_column), "pieces")
+    counts = Counter({r[0]: r[1] for r in rows.groupBy("length").count().collect()})  # at most capacity rows
+    full = counts.pop(capacity, 0)
+    plan = improve(best_fit(counts, capacity), capacity)
+    bins = sum(plan.values())
+    own = rows.where(F.col("length") == capacity).select(*names, (F.monotonically_increasing_id() + bins).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not counts:
+        return own
+    parts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()], "length long, parts long")
+    part = F.pmod(F.xxhash64(id_column, "piece", "start", "ids_crc32"), F.col("parts"))
+    rest = rows.where(F.col("length") < capacity).join(F.broadcast(parts), "length").withColumn("part", part).drop("parts")
+    before = rest.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = before.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
+    order = Window.partitionBy("length", "part").orderBy(id_column, "piece", "start", "ids_crc32")
+    ranked = rest.withColumn("rank", F.row_number().over(order) - 1).join(before, ["length", "part"])
     ranked = ranked.select(F.col(id_column).cast("long"), *names[1:], (F.col("first") + F.col("rank")).alias("rank"))
-    shared = spark.sparkContext.broadcast(plan)  # at most some slots for each length
+    shared = spark.sparkContext.broadcast(layout(plan))  # at most some slots for each length
 
     def make():
         runs = shared.value
@@ -257,7 +316,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_i
 
         return step
 
-    return arrow_map(
+    placed = arrow_map(
         ranked, make, f"{id_column} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
         [(id_column, pa.int64()), ("piece", pa.int32()), *[(n, pa.int64()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset")]],
     ).withColumn(id_column, F.col(id_column).cast(documents.schema[id_column].dataType))
+    return placed.unionByName(own) if full else placed

@@ -6,23 +6,29 @@ part of the sample and pruned on the other. The list is ordered and becomes one
 conditional expression; documents that no rule rejects are kept.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words and fail the base
-rules. Repeated rows are judged alike; several labels of one id count as its lowest.
-Without labels of both kinds the list is empty. Only the named columns are read.
+rules; very long texts are measured whole. Repeated rows are judged alike, rows of one id and
+different texts each by its text; several labels of one id count as its lowest. Without labels
+of both kinds the list is empty; an empty table stays empty. Columns pass as they are, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphlens.llm.common import Scratch, arrow_map
+from graphlens.llm.common import Scratch
 
-#: Labelled rows that the rules are learned from, those with the smallest hashes.
+#: Labelled ids that the rules are learned from at most, those with the smallest hashes.
 SAMPLE = 20_000
+#: Thresholds tried for a feature: so many quantiles of what is to be rejected.
+QUANTILES = 48
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_stops")
 #: What the rules test; each from the counts above.
@@ -53,20 +59,20 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     )
 
 
-def statistics(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the counts and the ``carry`` columns (long), one row for each document."""
+def statistics(documents: DataFrame, text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(row, the counts): row is a struct of the ``carry`` columns (all, if not given), one for each document."""
+    kept = list(dict.fromkeys([*(documents.columns if carry is None else carry), text_column]))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
+    kinds = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
-    def make():
-        def step(columns: list) -> list:
-            rows = [measure(t) for t in columns[1]]
-            return [columns[0], *(list(c) for c in zip(*rows, strict=True)), *columns[2:]] if rows else [[] for _ in range(len(COUNTS) + 1 + len(carry))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            texts = rows.field(kept.index(text_column)).cast(pa.binary())
+            found = np.array([measure(t) for t in texts.to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([rows, *(pa.array(found[:, k]) for k in range(len(COUNTS)))], names=["row", *COUNTS])
 
-        return step
-
-    return arrow_map(
-        documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary"), *carry), make,
-        "doc_id long, " + ", ".join(f"{c} long" for c in (*COUNTS, *carry)), [("doc_id", pa.int64()), *((c, pa.int64()) for c in (*COUNTS, *carry))],
-    )
+    return rows.mapInArrow(run, kinds)
 
 
 def features() -> dict[str, Column]:
@@ -87,54 +93,66 @@ def covers(rule: Rule, x) -> bool:
     return all((x[f] >= t) == up for f, up, t in rule)
 
 
-def _grow(bad: list, good: list, width: int) -> Rule:
+def _covered(rule: Rule, rows: np.ndarray) -> np.ndarray:
+    out = np.ones(len(rows), dtype=bool)
+    for f, up, t in rule:
+        out &= (rows[:, f] >= t) == up
+    return out
+
+
+def _grow(bad: np.ndarray, good: np.ndarray) -> Rule:
     """A conjunction that covers many of ``bad`` and few of ``good``: each condition is that
-    of most information gain among thresholds between neighbouring quantiles."""
+    of most information gain among thresholds at quantiles."""
     rule: list[Condition] = []
     p, n = bad, good
-    while n and len(rule) < 4:
-        before, best = math.log2(len(p) / (len(p) + len(n))), (0.0, None)
-        for f in range(width):
-            values = sorted({x[f] for x in p})
-            for t in values[:: max(1, len(values) // 48)] + values[-1:]:
-                for up in (True, False):
-                    a = sum((x[f] >= t) == up for x in p)
-                    b = sum((x[f] >= t) == up for x in n)
-                    if a:
-                        best = max(best, (a * (math.log2(a / (a + b)) - before), (f, up, t)), key=lambda z: z[0])
-        if best[1] is None or best[0] <= 1e-9:
+    while len(n) and len(rule) < 4:
+        before, best = np.log2(len(p) / (len(p) + len(n))), (1e-9, None)
+        for f in range(bad.shape[1]):
+            mine, others = np.sort(p[:, f]), np.sort(n[:, f])
+            values = np.unique(mine)
+            values = np.append(values[:: max(1, len(values) // QUANTILES)], values[-1])
+            above = (len(p) - np.searchsorted(mine, values), len(n) - np.searchsorted(others, values))
+            for up in (True, False):
+                a, b = above if up else (len(p) - above[0], len(n) - above[1])
+                gain = np.where(a > 0, a * (np.log2(np.maximum(a, 1) / np.maximum(a + b, 1)) - before), -1)
+                k = int(gain.argmax())
+                if gain[k] > best[0]:
+                    best = (float(gain[k]), (f, up, float(values[k])))
+        if best[1] is None:
             break
         rule.append(best[1])
-        p, n = [x for x in p if covers((best[1],), x)], [x for x in n if covers((best[1],), x)]
+        p, n = (x[_covered((best[1],), x)] for x in (p, n))
     return tuple(rule)
 
 
-def _worth(rule: Rule, bad: list, good: list) -> float:
-    a, b = sum(covers(rule, x) for x in bad), sum(covers(rule, x) for x in good)
-    return (a - b) / (a + b) if a + b else -1.0
-
-
-def learn(rows: list[tuple[tuple[float, ...], bool]], precision: float = 0.9, most: int = 12) -> list[Rule]:
+def learn(rows: list[tuple[tuple[float, ...], bool]], precision: float = 0.9) -> list[Rule]:
     """Rules that reject, in order. ``rows``: (features, whether bad). Every third row prunes.
 
-    Growing stops when a rule isn't right for ``precision`` of what it covers in the
-    rows for pruning, so that clean documents stay.
+    A rule enters the list if it is right for ``precision`` of what it covers in the rows for
+    pruning, counted with one more right and one more wrong, so that clean documents stay; else
+    the bad rows that it covers are left and the next rule is grown from the others.
     """
-    growing = [r for i, r in enumerate(rows) if i % 3]
-    pruning = [r for i, r in enumerate(rows) if not i % 3]
-    split = lambda part: ([x for x, y in part if y], [x for x, y in part if not y])
-    (bad, good), (bad2, good2) = split(growing), split(pruning)
+    if not rows:
+        return []
+    x, y = np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows], dtype=bool)
+    prune = np.arange(len(rows)) % 3 == 0
+    bad, good, bad2, good2 = (x[part & kind] for part in (~prune, prune) for kind in (y, ~y))
     rules: list[Rule] = []
-    while bad and good and len(rules) < most:
-        rule = _grow(bad, good[:: max(1, len(good) // 4_000)], len(bad[0]))
+    while len(bad) and len(good):
+        rule = _grow(bad, good)
         if not rule:
             break
-        best = max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: (_worth(r, bad2, good2), len(r)))
-        a, b = sum(covers(best, x) for x in bad2), sum(covers(best, x) for x in good2)
-        if a + b == 0 or a / (a + b) < precision:
-            break
-        rules.append(best)
-        bad, good, bad2, good2 = ([x for x in part if not covers(best, x)] for part in (bad, good, bad2, good2))
+
+        def worth(r: Rule) -> tuple[float, int]:
+            a, b = _covered(r, bad2).sum(), _covered(r, good2).sum()
+            return ((a - b) / (a + b) if a + b else -1.0, len(r))
+
+        best = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
+        a, b = _covered(best, bad2).sum(), _covered(best, good2).sum()
+        bad = bad[~_covered(best, bad)]
+        if (a + 1) / (a + b + 2) >= precision:
+            rules.append(best)
+            good, bad2, good2 = (part[~_covered(best, part)] for part in (good, bad2, good2))
     return rules
 
 
@@ -149,21 +167,33 @@ def expression(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[tuple[float, ...], bool]]:
-    """At most ``sample`` labelled rows, in the order of their ids' hashes."""
-    judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = stats.join(judged, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return [(tuple(r[:-1]), r[-1] == 0) for r in rows.select(*features().values(), "quality").collect()]
+BASE = "n_words < 50 or n_repeat_words * 100 > n_words * 50"
+
+
+def training_rows(documents: DataFrame, labels: DataFrame, store: Scratch, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> list[tuple[tuple[float, ...], bool]]:
+    """At most ``sample`` labelled documents that pass the base rules, in the order of their ids'
+    hashes. Only these are measured, and no task gives more than its share of them."""
+    judged = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.min("quality").alias("quality"))
+    judged = store.table(judged.withColumn("h", F.xxhash64("key")), "labels")
+    n = judged.count()
+    if n > sample:  # the smallest hashes: a cut a little above what is wanted, then the limit
+        judged = judged.where(F.col("h") < int(2**64 * min(1.0, 1.1 * sample / n)) - 2**63)
+    chosen = judged.orderBy("h", "key").limit(sample).select("key", "quality", "h")
+    rows = documents.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "key")
+    measured = statistics(rows, "text", ["quality", "h", "key"]).where(f"not ({BASE})").select("row.h", "row.key", F.struct(*features().values(), F.col("row.quality").alias("quality")).alias("x"))
+    found = measured.groupBy("h", "key").agg(F.min("x").alias("x")).orderBy("h", "key").collect()
+    return [(tuple(r["x"][:-1]), r["x"][-1] == 0) for r in found]
 
 
-def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the counts, ``carry``, base_failed, rule (0: none) and kept, one row for each document."""
-    stats = Scratch(documents.sparkSession, "quality").table(statistics(documents, id_column, text_column, carry), "statistics")
-    base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    rules = learn([r for r in training_rows(stats.where(~base), labels)])
-    return stats.withColumn("base_failed", base).withColumn("rule", expression(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+def judge(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(row, the counts, base_failed, rule, kept), one row for each document: rule is 0 where none
+    fits, row a struct of the ``carry`` columns. The verdict stays with the row: nothing is shuffled."""
+    rules = learn(training_rows(documents, labels, Scratch(documents.sparkSession, "quality"), id_column, text_column))
+    found = statistics(documents, text_column, carry).withColumn("base_failed", F.expr(BASE)).withColumn("rule", expression(rules))
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The query's columns."""
-    return judge(documents, labels).select("doc_id", "n_words", *COUNTS[1:5], "base_failed", "kept", F.col("rule").cast("long").alias("rule"))
+    found = judge(documents, labels, carry=["doc_id"])
+    return found.select("row.doc_id", "n_words", *COUNTS[1:5], "base_failed", "kept", F.col("rule").cast("long").alias("rule"))

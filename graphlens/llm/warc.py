@@ -5,11 +5,12 @@ whose separator is the two CRLF that end it. Reading splits at the version line,
 it stands; tasks work on byte ranges. Each candidate gives its offset and that of its
 successor, and pointer jumping from the file's start keeps only reachable records. A
 version line inside a payload opens a candidate that no chain reaches; its text goes back
-to the record around it.
+to the record around it. Archives of versions 1.0 and 1.1 are read, header names in any case.
 
-Null html is an empty payload. Empty tables make no archives and no rows. Repeated page
-ids make a record each; equal rows may refer to any of their equals, which have one id.
-Only id, url and html are read.
+Null html is an empty payload, a null url an empty one. Very long payloads are one record; what
+lies between two version lines is one row. Empty tables make no archives and no rows. Repeated
+page ids make a record each; equal rows may refer to any of their equals, which have one id.
+Only id, url and html are read, whatever the other columns are called.
 """
 
 from __future__ import annotations
@@ -17,49 +18,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.llm.common import Scratch
+from graphlens.llm.common import Scratch, without
 
-#: Fixed: the line that opens a record.
-MAGIC = "WARC/1.1\r\n"
+#: Fixed: what opens a record, before the version's last number; that after a line break, as headers
+#: hold it only so; the profile of revisits.
+VERSION = "WARC/1."
+MAGIC = "\r\n" + VERSION
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 #: Payloads smaller than this are always written in full.
 REVISIT_BYTES = 1000
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(page_id, kind, refers_to, record): the text of each page's record.
+def records(pages: DataFrame, store: Scratch) -> DataFrame:
+    """The records' texts, one for each page.
 
     Of pages with equal payloads of ``REVISIT_BYTES`` or more, that with the largest id is
     the response. Digests are counted before they meet, so a payload that a third of all
-    pages share is one row by task.
+    pages share is one row by task; payloads themselves stay where they are read, as a revisit
+    is written without one.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumns(
         {"size": F.octet_length("html").cast("long"), "sha1": F.sha1(F.col("html").cast("binary"))}
     )
-    firsts = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    rows = rows.join(firsts, "sha1", "left")
-    again = (F.col("size") >= REVISIT_BYTES) & (F.col("first") != F.col("page_id"))
-    rows = rows.withColumn("refers_to", F.when(again, F.col("first")))
-    named = lambda x: F.concat(F.lit("urn:page:"), x.cast("string"))
-    # header lines hold no line breaks
-    url = F.regexp_replace("url", r"[\r\n]+", " ")
-    header = F.concat(
-        F.lit(MAGIC), F.lit("WARC-Type: "), F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"), F.lit("\r\n"),
-        F.lit("WARC-Record-ID: <"), F.coalesce(named(F.col("page_id")), F.lit("urn:page:null")), F.lit(">\r\n"),
-        F.lit("WARC-Target-URI: "), url, F.lit("\r\n"),
-        F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1"), F.lit("\r\n"),
-        F.lit("X-Payload-Length: "), F.col("size").cast("string"), F.lit("\r\n"),
-        F.when(F.col("refers_to").isNull(), F.lit("")).otherwise(F.concat(F.lit("WARC-Refers-To: <"), named(F.col("refers_to")), F.lit(">\r\n"))),
-        F.lit("Content-Length: "), F.when(F.col("refers_to").isNull(), F.col("size")).otherwise(0).cast("string"), F.lit(END),
-    )
-    return rows.select("page_id", "refers_to", F.concat(header, F.when(F.col("refers_to").isNull(), F.col("html")).otherwise("")).alias("record"))
+    large = rows.where(F.col("size") >= REVISIT_BYTES).select("page_id", "url", "size", "sha1")
+    firsts = large.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
+    again = store.table(large.join(firsts, "sha1").where("first <> page_id"), "revisits")
+    key = F.xxhash64("page_id", "sha1")
+    full = without(rows, key, store.table(again.select(key.alias("k")).distinct(), "revisit-keys"))
+    named = lambda x: F.concat(F.lit("<urn:page:"), F.coalesce(x.cast("string"), F.lit("null")), F.lit(">"))
+
+    def record(fields: list[tuple[str, Column]], payload: Column) -> Column:
+        lines = [x for name, value in fields for x in (F.lit(f"{name}: "), value, F.lit("\r\n"))]
+        return F.concat(F.lit(VERSION + "1\r\n"), *lines[:-1], F.lit(END), payload).alias("record")
+
+    def fields(kind: str, length: Column) -> list[tuple[str, Column]]:
+        return [
+            ("WARC-Type", F.lit(kind)), ("WARC-Record-ID", named(F.col("page_id"))), ("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+            ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")),  # header lines hold no line breaks
+            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), ("X-Payload-Length", F.col("size").cast("string")), ("Content-Length", length),
+        ]
+
+    of = fields("response", F.col("size").cast("string")) + [("Content-Type", F.lit("text/html; charset=utf-8"))]
+    to = fields("revisit", F.lit("0")) + [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", named(F.col("first")))]
+    return full.select(record(of, F.col("html"))).unionByName(again.select(record(to, F.lit(""))))
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = 4096, compression: str = "gzip") -> None:
-    """Archives under ``path``; the last two CRLF are those of the last record. Compressed
-    ones are read in one task each, so ``records_per_file`` bounds their size; with ``none``
-    tasks read byte ranges."""
-    records(pages).select("record").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).mode("overwrite").text(path)
+def write(pages: DataFrame, path: str, store: Scratch, records_per_file: int = 65536, compression: str = "none") -> None:
+    """Archives under ``path``; the last two CRLF are those of the last record. Tasks read byte
+    ranges of plain ones; with ``gzip`` a file is one member, read in one task, so ``records_per_file``
+    bounds its size."""
+    records(pages, store).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", compression).mode("overwrite").text(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -72,16 +81,17 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _header(head: Column, name: str) -> Column:
-    return F.regexp_extract(head, rf"(?:^|\r\n){name}: ?([^\r\n]*)", 1)
+    return F.regexp_extract(head, rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)
 
 
 def candidates(pieces: DataFrame) -> DataFrame:
-    """A row for each piece, without its body: its size with a version line, its header
+    """A row for each piece, without its body: its size with what opens it, its header
     block, the length that the header gives, and digest and size of the payload it holds.
-    Without a whole header or a length there is no successor."""
-    text = F.col("body").cast("string")
+    Without a version line, a whole header or a length there is no successor."""
+    # the line break that opens the next piece may be the one that ends the header
+    text = F.concat(F.col("body").cast("string"), F.lit("\r\n"))
     head = F.substring_index(text, END, 1)
-    rows = pieces.withColumn("head", F.when(F.instr(text, END) > 0, head))
+    rows = pieces.withColumn("head", F.when((F.instr(text, END) > 0) & head.rlike(rf"^(?:\Q{VERSION}\E)?[0-9]\r\n"), head))
     rows = rows.withColumn("length", _header(F.col("head"), "Content-Length").try_cast("long"))
     start = F.octet_length("head") + len(END) + 1
     rows = rows.withColumn("payload", F.substring("body", start, F.least(F.col("length"), F.lit(2**31 - 1)).cast("int")))
@@ -92,7 +102,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
 
 
 def offsets(rows: DataFrame) -> DataFrame:
-    """Adds off, the position of the version line that opens a piece, and succ, where the next
+    """Adds off, the position of what opens a piece, and succ, where the next
     record must open. Text before a file's first version line has no row.
 
     A byte range's first offset is the sum of what the ranges before it gave; only these sums
@@ -101,19 +111,21 @@ def offsets(rows: DataFrame) -> DataFrame:
     blocks = rows.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     blocks = blocks.withColumn("begin", F.sum("bytes").over(Window.partitionBy("file").orderBy("block")) - F.col("bytes")).select("file", "block", "begin")
     inside = Window.partitionBy("file", "block").orderBy("n")
-    # a piece stands after its version line, which counts to the piece before
+    # a piece stands after what opens it, which counts to the piece before; a file's first piece
+    # has its version line in it and nothing before it
     rows = rows.withColumn("upto", F.sum("size").over(inside)).join(blocks, ["file", "block"])
-    rows = rows.withColumn("off", F.col("begin") + F.col("upto") - F.col("size") - len(MAGIC)).where("off >= 0")
-    return rows.withColumn("succ", F.col("off") + len(MAGIC) + F.octet_length("head") + len(END) + F.col("length") + len(END)).drop("upto", "begin", "n", "block")
+    rows = rows.withColumn("off", F.col("begin") + F.col("upto") - F.col("size") - len(MAGIC))
+    rows = rows.where((F.col("off") >= 0) | F.coalesce(F.col("head").startswith(VERSION) & (F.col("off") == -len(MAGIC)), F.lit(False)))
+    return rows.withColumn("succ", F.col("off") + len(MAGIC) + F.octet_length("head") + len(END) + F.col("length") + len(END) - 2).drop("upto", "begin", "n", "block")
 
 
 def reachable(links: DataFrame, store: Scratch) -> DataFrame:
-    """(file, off) of the candidates that the chain from offset 0 reaches.
+    """(file, off) of the candidates that the chain from a file's first piece reaches.
 
     ``links``: (file, off, succ). Pointer jumping: in each round the marked candidates mark
     where they jump to, then all jumps double; a chain of n records takes log2(n) rounds.
     """
-    here = links.select("file", "off", F.col("succ").alias("jump"), (F.col("off") == 0).alias("r"))
+    here = links.select("file", "off", F.col("succ").alias("jump"), (F.col("off") == -len(MAGIC)).alias("r"))
     turn = 0
     here = store.table(here, f"jumps-{turn}")
     while True:
@@ -169,7 +181,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """The query's columns, from the archives as read back."""
     store = Scratch(pages.sparkSession, "warc")
     path = store.path("archives")
-    write(pages, path)
+    write(pages, path, store)
     rows = read(pages.sparkSession, path, store)
     response = F.col("type") == "response"
     return rows.select(
