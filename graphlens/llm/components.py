@@ -64,6 +64,7 @@ def link_through_buckets(
     alike: Callable[[Side, Side], Column],
     resplit: Callable[[DataFrame], DataFrame],
     closeness: Callable[[Side, Side], Column] | None = None,
+    once: Callable[[Side, Side, Column], Column] | None = None,
     given: DataFrame | None = None,
     spent: str = "",
     prepare: Callable[[DataFrame], None] | None = None,
@@ -73,7 +74,8 @@ def link_through_buckets(
     ``postings``: (key, id, *items), an id in many buckets. ``near`` is a cheap necessary
     condition on two rows' items, ``alike`` one on the columns that ``marks`` gives (id, ...); ``verify``
     keeps the true links of a table (a, b). ``resplit`` deals the rows of full buckets (key, id, root,
-    members, *items and the marks) to smaller ones. ``given``: links (a, b) that need no bucket. ``prepare`` is told the ids (id,
+    members, *items and the marks) to smaller ones; with columns of its own that ``once`` reads, two rows and a
+    key, rows that meet in several of these make a pair in one only. ``given``: links (a, b) that need no bucket. ``prepare`` is told the ids (id,
     repeated) that may be verified once the postings are stored; then ``spent``, a table of
     ``scratch``, goes.
 
@@ -136,10 +138,10 @@ def link_through_buckets(
         if 10 * left > 7 * before:
             break
     full = resplit(rows.where(F.col("members") > FULL))
-    rows = rows.where(F.col("members") <= FULL).drop("members").unionByName(full.drop("members"))
+    rows = rows.where(F.col("members") <= FULL).drop("members").unionByName(full.drop("members"), allowMissingColumns=True)
     one, two = (rows.select(F.col("key").alias(f"{x}_key"), F.struct("*").alias(x)) for x in ("x", "y"))
     meet = (F.col("x_key") == F.col("y_key")) & (F.col("x.root") < F.col("y.root")) & near(at("x"), at("y")) & alike(at("x"), at("y"))
-    met = one.join(two, meet)
+    met = one.join(two, meet & once(at("x"), at("y"), F.col("x_key")) if once else meet)
     if closeness is None:
         pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     else:
