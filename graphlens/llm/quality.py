@@ -177,7 +177,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, store: Scratch, id_co
     judged = store.table(judged.withColumn("h", F.xxhash64("key")), "labels")
     n = judged.count()
     if n > sample:  # the smallest hashes: a cut a little above what is wanted, then the limit
-        judged = judged.where(F.col("h") < int(2**64 * min(1.0, 1.1 * sample / n)) - 2**63)
+        judged = judged.where(F.col("h") <= min(2**63 - 1, int(2**64 * 1.1 * sample / n) - 2**63))
     chosen = judged.orderBy("h", "key").limit(sample).select("key", "quality", "h")
     rows = documents.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text")).join(F.broadcast(chosen), "key")
     measured = statistics(rows, "text", ["quality", "h", "key"]).where(f"not ({BASE})").select("row.h", "row.key", F.struct(*features().values(), F.col("row.quality").alias("quality")).alias("x"))

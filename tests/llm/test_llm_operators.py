@@ -335,6 +335,15 @@ def test_rules_are_learned():
     assert quality.learn([]) == [] and quality.learn(rows[:1]) == []
 
 
+def test_training_rows_about_the_bound(spark):
+    words = [f"w{k}" for k in range(60)]
+    documents = spark.createDataFrame([(k, " ".join([*words, f"x{k}"])) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    for sample, least in ((50, 40), (40, 40), (39, 39), (37, 37), (20, 10)):
+        rows = quality.training_rows(documents, labels, Scratch(spark, "bound"), sample=sample)
+        assert least <= len(rows) <= sample
+
+
 # --- op6
 
 
