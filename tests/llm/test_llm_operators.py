@@ -506,6 +506,39 @@ def test_line_dedup_brute_force(spark):
     assert ours <= theirs and len(ours) >= 0.95 * len(theirs)
 
 
+def test_line_dedup_makes_every_link_of_its_buckets(spark, monkeypatch):
+    """All similar lines that meet in a bucket are joined, though their groups have closer pairs that are not similar."""
+    from graphlens.llm import components
+
+    monkeypatch.setattr(components, "FULL", 2)
+    rng, lines = random.Random(21), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(30)]
+        for _ in range(8):  # moved runs of words leave the SimHash as it is
+            lines.append(" ".join(words))
+            at = rng.randrange(27)
+            run, words = words[at : at + 3], words[:at] + words[at + 3 :]
+            to = rng.randrange(28)
+            words = words[:to] + run + words[to:]
+            if rng.random() < 0.3:
+                words[rng.randrange(30)] = f"w{rng.randrange(3000)}"
+    lines = sorted(set(lines))
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    mask, buckets, root = (1 << line_dedup.BLOCK_BITS) - 1, defaultdict(set), list(range(len(lines)))
+    found = {r["doc_id"]: r for r in line_dedup.distinct_lines(rows).collect()}
+    for i, r in found.items():
+        for k in [*r["keys"], *((b, r[s] >> b % 2 * line_dedup.BLOCK_BITS & mask) for b, s in enumerate(("s1", "s1", "s2", "s2")))]:
+            buckets[k].add(i)
+    for i, j in {(i, j) for b in buckets.values() for i in b for j in b if i < j}:
+        bits = sum((found[i][s] ^ found[j][s]).bit_count() for s in ("s1", "s2"))
+        if bits <= line_dedup.HAMMING and line_dedup.similar(lines[i], lines[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+    ours = line_groups(spark, lines)
+    n = range(len(lines))
+    assert {(i, j) for i in n for j in range(i) if ours[i] == ours[j]} == {(i, j) for i in n for j in range(i) if root[i] == root[j]}
+
+
 def test_line_dedup_exact_copies(documents):
     """Of equal normalised lines exactly one occurrence stays; others that go are like another."""
     found = line_dedup.digest(documents).collect()
