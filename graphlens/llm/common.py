@@ -35,6 +35,11 @@ def shared_root(spark: SparkSession) -> str:
     return context._graphlens_root
 
 
+#: Bytes of rows that a Python worker takes at once while tables are written. Spark's default of 64 MB stands in the
+#: executor several times: as vectors that double, as a batch and as Python's objects, for each core.
+BATCH_BYTES = 8 << 20
+
+
 class Scratch:
     """Tables written to the shared folder, so that lost executors cost no lineage.
 
@@ -59,7 +64,13 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = conf.get(key, None)
+        conf.set(key, f"{BATCH_BYTES}b")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.unset(key) if before is None else conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -1,7 +1,9 @@
 """Jaccard self-join of documents' shingle sets under several global token orders.
 
 Documents with equal sets form a class; classes are joined. A prefix of a set, long enough
-that two linked sets must share a token of it, is taken under each of three global orders.
+that two linked sets must share a token of it, is taken under each of three global orders. Two large
+sets share such a token by chance, and the short sketch says nothing of them: their buckets
+are those of two consecutive tokens of a prefix twice as long, of which linked sets must share one too.
 All orders put common tokens last, by a sketch of the document frequencies of all shingles,
 and break ties by different hashes. Pairs must share a prefix token under every order
 before their whole sets are compared: inside the join where buckets are full or hold several
@@ -102,10 +104,37 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= usual + spread, 0, np.ceil(np.log2(1 + np.maximum(counts - usual, 0)))).astype(np.uint64)
 
 
+def _rank(found: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
+    """Places in a global order: common hashes last, else by one of several hashes."""
+    return (level << np.uint64(56)) | (_mix(found ^ np.uint64(MIX[order])) >> np.uint64(8))
+
+
 def prefix(found: np.ndarray, level: np.ndarray, order: int, length: int) -> np.ndarray:
-    """The first hashes in a global order: common ones last, else by one of several hashes."""
-    key = (level << np.uint64(56)) | (_mix(found ^ np.uint64(MIX[order])) >> np.uint64(8))
-    return found[np.argpartition(key, length - 1)[:length]] if length < len(found) else found
+    """The first hashes in a global order, not sorted by it."""
+    return found[np.argpartition(_rank(found, level, order), length - 1)[:length]] if length < len(found) else found
+
+
+def large(percent: int) -> int:
+    """Size from which on the short odd sketch rules out hardly any pair of sets that have little in common."""
+    return (ODD // 2 - 16) * (100 + percent) // (2 * max(1, 100 - percent)) if 3 * percent > 200 else 1 << 62
+
+
+def bucket_keys(found: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which two linked sets share one: the prefix under the first order for sets that may have a partner
+    below ``large``, runs of two consecutive tokens for those from there on.
+
+    Linked sets differ in d = n * (100 - percent) / percent tokens at most, n being the smaller size. Of the d + 1
+    pairs in the first 2 * (d + 1) tokens of their union one is whole in both sets, consecutive in
+    both, and among the first 2 * (d + 1) tokens of both.
+    """
+    n, least, out = len(found), large(percent), []
+    if n and n * percent <= least * 100:
+        out.append(prefix(found, levels[_slot(found)], 0, prefix_length(n, percent)))
+    if n >= least:
+        first = prefix(found, levels[_slot(found)], 0, 2 * (n * (100 - percent) // percent + 1))
+        first = first[np.argsort(_rank(first, levels[_slot(first)], 0))]
+        out.append(_mix(_mix(first[:-1]) * np.uint64(MIX[1]) + first[1:]))
+    return np.concatenate(out) if out else found
 
 
 def odd_sketch(found: np.ndarray, bits: int) -> bytes:
@@ -123,8 +152,8 @@ def apart(x: bytes, y: bytes) -> int:
 
 def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
     """(row, doc_id, n, set, rare, o1, o2, o3, o4, wide, p1, p2, p3): size and fingerprint of each set,
-    how many of its shingles are not common, its odd sketches, and its prefixes under the orders
-    (the latter two as 16-bit hashes, which can only add candidates)."""
+    how many of its shingles are not common, its odd sketches, its bucket keys, and its prefixes under the
+    other orders (as 16-bit hashes, which can only add candidates)."""
     shared = documents.sparkSession.sparkContext.broadcast(level)
 
     def make():
@@ -139,7 +168,7 @@ def signatures(documents: DataFrame, level: np.ndarray, size: int, percent: int)
                 found = shingles(text, size, known)
                 p = prefix_length(len(found), percent) if len(found) else 0
                 own = level[_slot(found)]
-                one, two, three = (prefix(found, own, k, p) for k in range(3))
+                one, two, three = bucket_keys(found, level, percent), *(prefix(found, own, k, p) for k in (1, 2))
                 wide = odd_sketch(found, min(WIDEST, max(NARROWEST, 1 << len(found).bit_length())))
                 odd = np.frombuffer(odd_sketch(found, ODD), dtype=np.int64).tolist()
                 values = (key, len(found), xxhash.xxh3_128_digest(found.tobytes()), int((own == 0).sum()), *odd, wide, one.view(np.int64), short(two), short(three))

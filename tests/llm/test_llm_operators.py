@@ -398,6 +398,47 @@ def test_ngram_join_near_copies(spark):
         same(ngram_join.groups(df, size, percent).collect(), brute_groups(rows, size, percent))
 
 
+def test_large_sets_meet_only_their_like(spark, monkeypatch):
+    """Unrelated texts that share some shingles by chance are no candidates; links about the bound of ``large`` are all found."""
+    rng, rows, tried = random.Random(31), [], []
+    word = lambda: f"t{rng.randrange(80)}"
+    for k in range(50):
+        rows.append((k, " ".join(word() for _ in range(2600))))
+    plain = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *args: tried.append(pairs.distinct().count()) or plain(pairs, *args))
+    same(ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute_groups(rows))
+    assert sum(tried) < 100  # of 1,225 pairs
+    near = []
+    for size, percent in ((3, 90), (5, 80)):
+        n = ngram_join.large(percent)
+        for family in range(10):
+            words = [f"u{rng.randrange(10**6)}" for _ in range(n + rng.randrange(-n // 10, n // 10))]
+            for _ in range(4):
+                copy = list(words)
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randrange(1, n // 8)] = []
+                for _ in range(rng.randrange(1 + n * (100 - percent) // 100 // size)):
+                    copy[rng.randrange(len(copy))] = f"u{rng.randrange(10**6)}"
+                near.append((len(near), " ".join(copy)))
+        same(ngram_join.groups(spark.createDataFrame(near, "doc_id long, text string"), size, percent).collect(), brute_groups(near, size, percent))
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["bytes"])
+
+    rows = spark.range(0, 2000, 1, 1).select(F.expr("cast(repeat('x', 20000) as binary)").alias("x"))
+    found = [r["bytes"] for r in Scratch(spark, "t").table(rows.mapInArrow(sizes, "bytes long"), "sizes").collect()]
+    assert sum(found) >= 4 * 10**7 and max(found) < 10**7
+    assert spark.conf.get(key, None) == before
+
+
 def test_ids_of_several_texts_are_one_document(spark):
     rows = [(1, "a b c d"), (2, "a b c d"), (2, "e f g h"), (3, "e f g h"), (4, "i j k l")]
     found = ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
